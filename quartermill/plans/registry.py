@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.canonical import Tables
-from . import flows, register
+from . import flows, market, register
 
-FAMILIES = (register, flows)
+FAMILIES = (register, flows, market)
 
 
 def _bound(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
