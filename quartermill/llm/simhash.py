@@ -168,7 +168,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     def tile_of(fp: Column) -> Column:
         out = F.lit(0).cast("bigint")
         for k in range(blocks):
-            out = out * base + F.bit_count(F.shiftrightunsigned(fp, k * bits).bitwiseAND(F.lit(2**bits - 1).cast("bigint"))) + radius
+            out = out * base + F.bit_count(F.shiftrightunsigned(fp, k * bits).bitwiseAND(F.lit(2**bits - 1 if bits < 64 else -1).cast("bigint"))) + radius
         return out
 
     homes = prints.select("fp", tile_of(F.col("fp")).alias("tile"))
