@@ -85,3 +85,29 @@ def full_null_safe(a: DataFrame, b: DataFrame, keys: list[str], safe: list[str])
     joined = a.join(right, on, "full")
     rest = [c for c in [*a.columns, *b.columns] if c not in {*keys, *safe}]
     return joined.select(*[F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) for k in [*keys, *safe]], *rest)
+
+
+def descend(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """root, entity_id and its least depth of all that is within ``depth`` edges (parent, child) below each root."""
+    found = frontier = roots.select(F.col("entity_id").alias("root"), "entity_id", F.lit(0).cast("bigint").alias("depth"))
+    for k in range(1, depth + 1):
+        frontier = frontier.join(edges, frontier["entity_id"] == edges["parent"]).select("root", F.col("child").alias("entity_id"), F.lit(k).cast("bigint").alias("depth")).distinct()
+        found = found.unionByName(frontier)
+    return found.groupBy("root", "entity_id").agg(F.min("depth").alias("depth"))
+
+
+def closure(start: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """All entity_id that follow edges (src, dst) from ``start``, itself included, to the fixed point.
+
+    Each round joins only what the round before found anew, and checkpoints
+    the found set where the session names a shared folder.
+    """
+    sc = start.sparkSession.sparkContext
+    keep = (lambda df: df.checkpoint()) if sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") else (lambda df: df.cache())
+    found = new = keep(start.select("entity_id").distinct())
+    for _ in range(rounds):
+        new = keep(new.join(edges, new["entity_id"] == edges["src"]).select(F.col("dst").alias("entity_id")).distinct().join(found, "entity_id", "left_anti"))
+        if new.isEmpty():
+            return found
+        found = keep(found.unionByName(new))
+    raise RuntimeError("no fixed point")
