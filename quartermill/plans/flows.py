@@ -16,8 +16,12 @@ PERIODS = {"4Q": FIRST, "2Q": QUARTERS[1], "1Q": PREVIOUS}
 
 
 def cents(x: Column) -> Column:
-    """Sums of doubles, rounded so that they don't hang on the order of addition."""
-    return F.round(x, 2)
+    """An amount in whole cents, as a double: sums of these are exact in any order of addition."""
+    return F.round(x * 100)
+
+
+def dollars(x: Column) -> Column:
+    return x / 100
 
 
 # --- investor flows -------------------------------------------------------
@@ -210,12 +214,12 @@ def flow_analysis(t: Tables, ticker: str = TICKER, period: str = "1Q") -> DataFr
     """A ticker's flows over a period by direction: entities, shares and value moved."""
     rows = investor_flows(t).where((F.col("ticker") == ticker) & (F.col("period") == period))
     kind = F.when(F.col("is_new_entry"), "new").when(F.col("is_exit"), "exit").when(F.col("net_shares") > 0, "buyer").when(F.col("net_shares") < 0, "seller").otherwise("unchanged")
-    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("entities"), F.sum("net_shares").alias("net_shares"), cents(F.sum("price_adj_flow")).alias("price_adj_flow"), F.sum("raw_flow").alias("raw_flow"))
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("entities"), F.sum("net_shares").alias("net_shares"), dollars(F.sum(cents(F.col("price_adj_flow")))).alias("price_adj_flow"), F.sum("raw_flow").alias("raw_flow"))
 
 
 FLOW_ANALYSIS = f"""{_flows_sql(EC)}
 SELECT CASE WHEN is_new_entry THEN 'new' WHEN is_exit THEN 'exit' WHEN net_shares > 0 THEN 'buyer' WHEN net_shares < 0 THEN 'seller' ELSE 'unchanged' END AS kind,
-  count(*) AS entities, {S("net_shares")} AS net_shares, round(sum(price_adj_flow), 2) AS price_adj_flow, {S("raw_flow")} AS raw_flow
+  count(*) AS entities, {S("net_shares")} AS net_shares, sum(round(price_adj_flow * 100)) / 100 AS price_adj_flow, {S("raw_flow")} AS raw_flow
 FROM investor WHERE ticker = '{TICKER}' AND period = '1Q' GROUP BY 1"""
 
 
@@ -259,7 +263,7 @@ def pair_flows(rows: DataFrame, entity: str, kind: Column | None = None) -> Data
     """Active flows of each entity and ticker between consecutive quarters, all pairs in one pass.
 
     A held position counts its change in shares at the quarter's implied
-    price; one that is gone counts minus its last value. A missing quarter is
+    price; one that is gone counts minus its last value; both in whole cents. A missing quarter is
     an exit, so each position is laid on the quarters by one union of its own
     rows and their successors instead of a self join.
     """
@@ -273,7 +277,7 @@ def pair_flows(rows: DataFrame, entity: str, kind: Column | None = None) -> Data
     cells = cells.where("k > 1")
     flow = F.when(F.col("value").isNotNull(), (F.col("shares") - F.coalesce("p_shares", F.lit(0))) * ratio(F.col("value"), F.col("shares"))).otherwise(-F.col("p_value").cast("double"))
     labels = F.array(*[F.lit(q) for q in QUARTERS])
-    return cells.select("entity", "ticker", F.element_at(labels, F.col("k") - 1).alias("quarter_from"), F.element_at(labels, F.col("k")).alias("quarter_to"), F.coalesce("entity_type", "p_entity_type").alias("entity_type"), flow.alias("active_flow"),
+    return cells.select("entity", "ticker", F.element_at(labels, F.col("k") - 1).alias("quarter_from"), F.element_at(labels, F.col("k")).alias("quarter_to"), F.coalesce("entity_type", "p_entity_type").alias("entity_type"), cents(flow).alias("active_flow"),
                         F.when(F.col("value").isNull(), "exit").when(F.col("p_value").isNull(), "new").otherwise("change").alias("flow_type"))
 
 
@@ -281,10 +285,10 @@ def _pairs_sql(source: str, entity: str, kind: str) -> str:
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in zip(QUARTERS, QUARTERS[1:], strict=False))
     return f"""pa AS (SELECT {entity} AS entity, ticker, quarter, {S("shares")} AS shares, {S("market_value_usd")} AS v, max({kind}) AS entity_type FROM {source} WHERE is_latest GROUP BY 1, 2, 3),
 pq AS (SELECT * FROM (VALUES {pairs}) x(qf, qt)),
-pair AS (SELECT c.entity, c.ticker, qf AS quarter_from, qt AS quarter_to, c.entity_type, (c.shares - coalesce(p.shares, 0)) * (c.v::DOUBLE / nullif(c.shares, 0)) AS active_flow,
+pair AS (SELECT c.entity, c.ticker, qf AS quarter_from, qt AS quarter_to, c.entity_type, round((c.shares - coalesce(p.shares, 0)) * (c.v::DOUBLE / nullif(c.shares, 0)) * 100) AS active_flow,
     CASE WHEN p.entity IS NULL THEN 'new' ELSE 'change' END AS flow_type
   FROM pq JOIN pa c ON c.quarter = qt LEFT JOIN pa p ON p.quarter = qf AND p.entity = c.entity AND p.ticker = c.ticker
-  UNION ALL SELECT p.entity, p.ticker, qf, qt, p.entity_type, -p.v::DOUBLE, 'exit' FROM pq JOIN pa p ON p.quarter = qf
+  UNION ALL SELECT p.entity, p.ticker, qf, qt, p.entity_type, round(-p.v::DOUBLE * 100), 'exit' FROM pq JOIN pa p ON p.quarter = qf
   LEFT JOIN pa c ON c.quarter = qt AND c.entity = p.entity AND c.ticker = p.ticker WHERE c.entity IS NULL)"""
 
 
@@ -297,15 +301,15 @@ def sector_flows_rollup(t: Tables) -> DataFrame:
     views = rows.withColumn("active_only", F.explode(F.when(F.col("entity_type").isin(*ROTATION_ACTIVE), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     flow, pair = F.col("active_flow"), F.concat("entity", F.lit("|"), "ticker")
     return views.groupBy("active_only", "sector", "quarter_from", "quarter_to").agg(
-        cents(F.sum(flow)).alias("net"), cents(F.sum(F.when(flow > 0, flow).otherwise(0.0))).alias("inflow"), cents(F.sum(F.when(flow < 0, flow).otherwise(0.0))).alias("outflow"),
+        dollars(F.sum(flow)).alias("net"), dollars(F.sum(F.when(flow > 0, flow).otherwise(0.0))).alias("inflow"), dollars(F.sum(F.when(flow < 0, flow).otherwise(0.0))).alias("outflow"),
         F.count_distinct(F.when(F.col("flow_type") == "new", pair)).alias("new_positions"), F.count_distinct(F.when(F.col("flow_type") == "exit", pair)).alias("exits"), F.count_distinct("entity").alias("managers"))
 
 
 SECTOR_FLOWS = f"""{_HPAIRS},
 v AS (SELECT p.*, sector, FALSE AS active_only FROM pair p JOIN market_data m ON p.ticker = m.ticker UNION ALL
       SELECT p.*, sector, TRUE FROM pair p JOIN market_data m ON p.ticker = m.ticker WHERE entity_type IN {sql_list(ROTATION_ACTIVE)})
-SELECT active_only, sector, quarter_from, quarter_to, round(sum(active_flow), 2) AS net, round(sum(CASE WHEN active_flow > 0 THEN active_flow ELSE 0 END), 2) AS inflow,
-  round(sum(CASE WHEN active_flow < 0 THEN active_flow ELSE 0 END), 2) AS outflow, count(DISTINCT CASE WHEN flow_type = 'new' THEN entity || '|' || ticker END) AS new_positions,
+SELECT active_only, sector, quarter_from, quarter_to, sum(active_flow) / 100 AS net, sum(CASE WHEN active_flow > 0 THEN active_flow ELSE 0 END) / 100 AS inflow,
+  sum(CASE WHEN active_flow < 0 THEN active_flow ELSE 0 END) / 100 AS outflow, count(DISTINCT CASE WHEN flow_type = 'new' THEN entity || '|' || ticker END) AS new_positions,
   count(DISTINCT CASE WHEN flow_type = 'exit' THEN entity || '|' || ticker END) AS exits, count(DISTINCT entity) AS managers FROM v GROUP BY 1, 2, 3, 4"""
 
 
@@ -313,14 +317,14 @@ def sector_flow_movers(t: Tables, sector: str = "ECONOMY") -> DataFrame:
     """Institutions by net flow into a sector over the last pair: top 5 and bottom 5 (none twice)."""
     rows = pair_flows(t.latest, "cik").where(F.col("quarter_to") == LATEST).join(F.broadcast(t.market_data.where(F.col("sector") == sector).select("ticker")), "ticker", "left_semi")
     flow = F.col("active_flow")
-    net = rows.groupBy("entity").agg(cents(F.sum(flow)).alias("net"), cents(F.sum(F.when(flow > 0, flow).otherwise(0.0))).alias("buying"), cents(F.sum(F.when(flow < 0, flow).otherwise(0.0))).alias("selling")).where("net is not null")
+    net = rows.groupBy("entity").agg(dollars(F.sum(flow)).alias("net"), dollars(F.sum(F.when(flow > 0, flow).otherwise(0.0))).alias("buying"), dollars(F.sum(F.when(flow < 0, flow).otherwise(0.0))).alias("selling")).where("net is not null")
     up = top_n(net, [], [F.desc("net"), F.asc("entity")], 5).withColumn("side", F.lit("top"))
     down = top_n(net.join(F.broadcast(up.select("entity")), "entity", "left_anti"), [], [F.asc("net"), F.asc("entity")], 5).withColumn("side", F.lit("bottom"))
     return up.unionByName(down)
 
 
 SECTOR_MOVERS = f"""{_HPAIRS},
-n AS (SELECT entity, round(sum(active_flow), 2) AS net, round(sum(CASE WHEN active_flow > 0 THEN active_flow ELSE 0 END), 2) AS buying, round(sum(CASE WHEN active_flow < 0 THEN active_flow ELSE 0 END), 2) AS selling
+n AS (SELECT entity, sum(active_flow) / 100 AS net, sum(CASE WHEN active_flow > 0 THEN active_flow ELSE 0 END) / 100 AS buying, sum(CASE WHEN active_flow < 0 THEN active_flow ELSE 0 END) / 100 AS selling
   FROM pair p JOIN market_data m ON p.ticker = m.ticker WHERE quarter_to = '{LATEST}' AND sector = 'ECONOMY' GROUP BY 1 HAVING sum(active_flow) IS NOT NULL),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY net DESC, entity) AS rank FROM n) q WHERE rank <= 5),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY net, entity) AS rank FROM n WHERE entity NOT IN (SELECT entity FROM u)) q WHERE rank <= 5)
@@ -333,14 +337,14 @@ def peer_rotation_flows(t: Tables) -> DataFrame:
     a = pair_flows(t.latest.withColumn("parent", F.coalesce("rollup_name", "inst_parent_name", "manager_name")), "parent").withColumn("level", F.lit("parent"))
     b = pair_flows(t.fund_latest, "series_id").withColumn("level", F.lit("fund"))
     both = a.unionByName(b).join(sectors, "ticker")
-    return both.groupBy("level", "sector", "entity", "ticker", "quarter_from", "quarter_to").agg(cents(F.sum("active_flow")).alias("active_flow")).where("active_flow is not null")
+    return both.groupBy("level", "sector", "entity", "ticker", "quarter_from", "quarter_to").agg(dollars(F.sum("active_flow")).alias("active_flow")).where("active_flow is not null")
 
 
 _PEER = _pairs_sql("holdings", "coalesce(rollup_name, inst_parent_name, manager_name)", "CAST(NULL AS VARCHAR)")
 _PEER_F = _FPAIRS.replace("pa AS", "fpa AS").replace("JOIN pa ", "JOIN fpa ").replace("pair AS", "fpair AS").replace("pq AS", "fpq AS").replace("FROM pq", "FROM fpq")
 PEER_ROTATION = f"""{_PEER}, {_PEER_F},
 u AS (SELECT *, 'parent' AS level FROM pair UNION ALL SELECT *, 'fund' FROM fpair)
-SELECT level, sector, entity, u.ticker, quarter_from, quarter_to, round(sum(active_flow), 2) AS active_flow FROM u JOIN market_data m ON u.ticker = m.ticker
+SELECT level, sector, entity, u.ticker, quarter_from, quarter_to, sum(active_flow) / 100 AS active_flow FROM u JOIN market_data m ON u.ticker = m.ticker
 GROUP BY 1, 2, 3, 4, 5, 6 HAVING sum(active_flow) IS NOT NULL"""
 
 
@@ -349,12 +353,12 @@ def _entity_ticker(t: Tables, ticker: str) -> DataFrame:
     sector = F.broadcast(t.market_data.where(F.col("ticker") == ticker).select(F.col("sector").alias("own")))
     rows = pair_flows(t.latest.withColumn("parent", F.coalesce("rollup_name", "inst_parent_name", "manager_name")), "parent")
     rows = rows.join(F.broadcast(t.market_data.select("ticker", "sector", "industry")), "ticker").join(sector, F.col("sector") == F.col("own"))
-    flows = rows.groupBy("entity", "ticker", "industry").agg(cents(F.sum("active_flow")).alias("flow")).where("flow is not null")
+    flows = rows.groupBy("entity", "ticker", "industry").agg(F.sum("active_flow").alias("flow")).where("flow is not null")
     return flows.withColumn("subject", F.coalesce(F.sum(F.when(F.col("ticker") == ticker, F.col("flow"))).over(Window.partitionBy("entity")), F.lit(0.0)))
 
 
 _ENTITY_TICKER = f"""{_PEER},
-et AS (SELECT entity, p.ticker, industry, round(sum(active_flow), 2) AS flow FROM pair p JOIN market_data m ON p.ticker = m.ticker
+et AS (SELECT entity, p.ticker, industry, sum(active_flow) AS flow FROM pair p JOIN market_data m ON p.ticker = m.ticker
   WHERE sector = (SELECT sector FROM market_data WHERE ticker = '{TICKER}') GROUP BY 1, 2, 3 HAVING sum(active_flow) IS NOT NULL),
 es AS (SELECT *, coalesce(sum(CASE WHEN ticker = '{TICKER}' THEN flow END) OVER (PARTITION BY entity), 0) AS subject FROM et)"""
 
@@ -362,42 +366,42 @@ es AS (SELECT *, coalesce(sum(CASE WHEN ticker = '{TICKER}' THEN flow END) OVER
 def peer_substitutions(t: Tables, ticker: str = TICKER) -> DataFrame:
     """Peers that entities moved into as they moved out of the subject, or the reverse, by the lesser of the two flows."""
     rows = _entity_ticker(t, ticker).where((F.col("ticker") != ticker) & (F.col("flow") * F.col("subject") < 0))
-    out = rows.groupBy("ticker", "industry").agg(cents(F.sum("flow")).alias("net_peer_flow"), cents(F.sum("subject")).alias("contra_subject_flow"), F.count("*").alias("num_entities"), cents(F.sum(F.least(F.abs("flow"), F.abs("subject")))).alias("magnitude"))
+    out = rows.groupBy("ticker", "industry").agg(dollars(F.sum("flow")).alias("net_peer_flow"), dollars(F.sum("subject")).alias("contra_subject_flow"), F.count("*").alias("num_entities"), dollars(F.sum(F.least(F.abs("flow"), F.abs("subject")))).alias("magnitude"))
     return out.withColumn("direction", F.when(F.col("net_peer_flow") > 0, "replacing").otherwise("replaced_by"))
 
 
 PEER_SUBS = f"""{_ENTITY_TICKER}
-SELECT ticker, industry, round(sum(flow), 2) AS net_peer_flow, round(sum(subject), 2) AS contra_subject_flow, count(*) AS num_entities, round(sum(least(abs(flow), abs(subject))), 2) AS magnitude,
-  CASE WHEN round(sum(flow), 2) > 0 THEN 'replacing' ELSE 'replaced_by' END AS direction FROM es WHERE ticker <> '{TICKER}' AND flow * subject < 0 GROUP BY 1, 2"""
+SELECT ticker, industry, sum(flow) / 100 AS net_peer_flow, sum(subject) / 100 AS contra_subject_flow, count(*) AS num_entities, sum(least(abs(flow), abs(subject))) / 100 AS magnitude,
+  CASE WHEN sum(flow) > 0 THEN 'replacing' ELSE 'replaced_by' END AS direction FROM es WHERE ticker <> '{TICKER}' AND flow * subject < 0 GROUP BY 1, 2"""
 
 
 def peer_rotation_stories(t: Tables, ticker: str = TICKER) -> DataFrame:
     """The ten entities that moved most in the subject, each with its three largest opposite peers."""
     rows = _entity_ticker(t, ticker)
-    best = rows.groupBy("entity").agg(F.max("subject").alias("subject_flow"), cents(F.sum("flow")).alias("sector_flow")).where("subject_flow <> 0 or sector_flow <> 0")
+    best = rows.groupBy("entity").agg(dollars(F.max("subject")).alias("subject_flow"), dollars(F.sum("flow")).alias("sector_flow")).where("subject_flow <> 0 or sector_flow <> 0")
     best = top_n(best, [], [F.desc(F.abs("subject_flow")), F.asc("entity")], 10, "story")
-    contra = rows.where((F.col("ticker") != ticker) & (F.col("flow") * F.col("subject") < 0)).select("entity", F.col("ticker").alias("peer"), F.col("flow").alias("peer_flow"))
+    contra = rows.where((F.col("ticker") != ticker) & (F.col("flow") * F.col("subject") < 0)).select("entity", F.col("ticker").alias("peer"), dollars(F.col("flow")).alias("peer_flow"))
     contra = top_n(contra, ["entity"], [F.desc(F.abs("peer_flow")), F.asc("peer")], 3, "peer_rank")
     return best.join(contra, "entity", "left")
 
 
 STORIES = f"""{_ENTITY_TICKER},
-b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY abs(subject_flow) DESC, entity) AS story FROM (SELECT entity, max(subject) AS subject_flow, round(sum(flow), 2) AS sector_flow FROM es GROUP BY 1) q
+b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY abs(subject_flow) DESC, entity) AS story FROM (SELECT entity, max(subject) / 100 AS subject_flow, sum(flow) / 100 AS sector_flow FROM es GROUP BY 1) q
       WHERE subject_flow <> 0 OR sector_flow <> 0) q WHERE story <= 10),
-c AS (SELECT * FROM (SELECT entity, ticker AS peer, flow AS peer_flow, row_number() OVER (PARTITION BY entity ORDER BY abs(flow) DESC, ticker) AS peer_rank FROM es WHERE ticker <> '{TICKER}' AND flow * subject < 0) q WHERE peer_rank <= 3)
+c AS (SELECT * FROM (SELECT entity, ticker AS peer, flow / 100 AS peer_flow, row_number() OVER (PARTITION BY entity ORDER BY abs(flow) DESC, ticker) AS peer_rank FROM es WHERE ticker <> '{TICKER}' AND flow * subject < 0) q WHERE peer_rank <= 3)
 SELECT b.*, peer, peer_flow, peer_rank FROM b LEFT JOIN c ON b.entity = c.entity"""
 
 
 def peer_rotation_detail(t: Tables, ticker: str = TICKER, peer: str = "P17") -> DataFrame:
     """Entities with flows in a subject and a peer, the 20 largest in sum of sizes."""
     rows = pair_flows(t.latest.withColumn("parent", F.coalesce("rollup_name", "inst_parent_name", "manager_name")), "parent").where(F.col("ticker").isin(ticker, peer))
-    pick = lambda x: cents(F.sum(F.when(F.col("ticker") == x, F.col("active_flow")).otherwise(0.0)))
+    pick = lambda x: dollars(F.sum(F.when(F.col("ticker") == x, F.col("active_flow")).otherwise(0.0)))
     by = rows.groupBy("entity").agg(pick(ticker).alias("subject_flow"), pick(peer).alias("peer_flow"))
     return top_n(by, [], [F.desc(F.abs("subject_flow") + F.abs("peer_flow")), F.asc("entity")], 20)
 
 
 DETAIL = f"""{_PEER},
-b AS (SELECT entity, round(sum(CASE WHEN ticker = '{TICKER}' THEN active_flow ELSE 0 END), 2) AS subject_flow, round(sum(CASE WHEN ticker = 'P17' THEN active_flow ELSE 0 END), 2) AS peer_flow
+b AS (SELECT entity, sum(CASE WHEN ticker = '{TICKER}' THEN active_flow ELSE 0 END) / 100 AS subject_flow, sum(CASE WHEN ticker = 'P17' THEN active_flow ELSE 0 END) / 100 AS peer_flow
   FROM pair WHERE ticker IN ('{TICKER}', 'P17') GROUP BY 1)
 SELECT * FROM (SELECT *, row_number() OVER (ORDER BY abs(subject_flow) + abs(peer_flow) DESC, entity) AS rank FROM b) q WHERE rank <= 20"""
 

@@ -43,12 +43,12 @@ def sector_monthly_flows(t: Tables) -> DataFrame:
     step = by.withColumn("p_month", F.lag("report_month").over(w)).withColumn("p_shares", F.lag("shares").over(w))
     paired = step.where(F.date_format(F.add_months(month, -1), "yyyy-MM") == F.col("p_month"))
     flow = (F.col("shares") - F.col("p_shares")) * ratio(F.col("value"), F.col("shares"))
-    return paired.join(F.broadcast(t.market_data.select("ticker", "sector")), "ticker").groupBy("sector", "report_month").agg(F.round(F.sum(flow), 2).alias("net_flow"), F.count("*").alias("pairs"))
+    return paired.join(F.broadcast(t.market_data.select("ticker", "sector")), "ticker").groupBy("sector", "report_month").agg((F.sum(F.round(flow * 100)) / 100).alias("net_flow"), F.count("*").alias("pairs"))
 
 
 SECTOR_MONTHLY = f"""b AS (SELECT series_id, ticker, report_month, {S("shares")} AS shares, {S("market_value_usd")} AS value FROM fund_holdings
   WHERE is_latest AND asset_category IN ('EC', 'EP') AND shares > 0 GROUP BY 1, 2, 3)
-SELECT sector, c.report_month, round(sum((c.shares - p.shares) * (c.value::DOUBLE / nullif(c.shares, 0))), 2) AS net_flow, count(*) AS pairs
+SELECT sector, c.report_month, sum(round((c.shares - p.shares) * (c.value::DOUBLE / nullif(c.shares, 0)) * 100)) / 100 AS net_flow, count(*) AS pairs
 FROM b c JOIN b p ON p.series_id = c.series_id AND p.ticker = c.ticker AND p.report_month = strftime((c.report_month || '-01')::DATE - INTERVAL 1 MONTH, '%Y-%m')
 JOIN market_data m ON c.ticker = m.ticker GROUP BY 1, 2"""
 
