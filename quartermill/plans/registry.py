@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.canonical import Tables
-from . import builders, entities, flows, market, register
+from . import builders, curation, entities, flows, market, register
 
-FAMILIES = (register, flows, market, entities, builders)
+FAMILIES = (register, flows, market, entities, builders, curation)
 
 
 def _bound(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
