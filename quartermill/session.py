@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +24,23 @@ def session(name: str = "quartermill", **settings: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the Python workers, once, if they may not find it.
+
+    Workers find a package that PYTHONPATH names, or that was submitted with
+    --py-files. Where neither is so, Spark's file server hands out an archive.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(sc, "_quartermill_shipped", False):
+        return
+    sc._quartermill_shipped = True
+    named = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in named or root.suffix == ".zip" or any("quartermill" in x for x in sc.getConf().get("spark.submit.pyFiles", "").split(",")):
+        return
+    to = Path(tempfile.mkdtemp()) / "quartermill.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted((root / "quartermill").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(to))
