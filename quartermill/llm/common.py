@@ -9,13 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: The six ASCII white-space characters; ``bytes.split()`` splits at just these.
 WHITE = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id inside arrays: it sorts after every other id.
 NO_ID = np.iinfo(np.int64).max
+#: Rows that a pass over documents works on at once.
+ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder once and cuts its lineage."""
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -43,6 +49,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def input_partitions(df: DataFrame) -> int:
     """Number of partitions that a scan of ``df`` has; nothing is computed for a scan."""
+    ship(df.sparkSession)
     return max(1, df.rdd.getNumPartitions())
 
 
@@ -84,16 +91,26 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to ``ROWS`` rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 def per_document(
     df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]
 ) -> DataFrame:
-    """A narrow Arrow pass: ``work`` maps each batch of the named columns to a batch."""
+    """A narrow Arrow pass: ``work`` maps each batch of the named columns to a batch.
+
+    Batches are cut to ``ROWS`` rows, so what a worker makes of one stays small.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield work(b)
+        for b in sliced(batches):
+            yield work(b)
 
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(each, schema)
 
 
@@ -109,3 +126,25 @@ def schema_of(df: DataFrame, more: str = "") -> str:
     """The columns of ``df`` as a DDL string, and more of them."""
     own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
     return f"{own}, {more}" if more else own
+
+
+class Memo:
+    """A bounded table in two generations: when the young one is full it takes the old one's place.
+
+    What is still in use is found in the old one and moves up, so frequent
+    words never leave.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def find(self, key: bytes | str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: bytes | str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value

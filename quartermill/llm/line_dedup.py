@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WHITE, binary, fresh, ids, input_partitions, materialise, raw, schema_of, splitmix, table
+from .common import NO_ID, WHITE, binary, fresh, ids, input_partitions, materialise, raw, schema_of, sliced, splitmix, table
 
 MIN_CHARS = 10
 #: A line is heavy if it makes up more than this share of all kept keys.
@@ -290,7 +290,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_id, at_text, at_keys = names.index("doc_id"), names.index("text"), len(names)
-        for b in batches:
+        for b in sliced(batches):
             texts, lines, dropped = [], [], []
             for doc, text, keys in zip(ids(b.column(at_id)).tolist(), raw(b.column(at_text)), b.column(at_keys).to_pylist(), strict=True):
                 gone = {tuple(x) for part in keys or () for x in np.frombuffer(part, KEY).tolist()}

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_document, raw, schema_of, table
+from .common import Memo, per_document, raw, schema_of, sliced, table
 
 #: Bound of the rows that are learned from.
 TRAIN_ROWS = 8_000
@@ -50,7 +50,7 @@ THRESHOLD = 0.3
 WORDS = 1 << 15
 BINS = 24
 RANK = 8
-CACHE = 400_000
+CACHE = 150_000
 EPOCHS, BATCH, RATE = 8, 64, 0.08
 L2 = 1e-5
 
@@ -72,7 +72,7 @@ FEATURES = WORDS + len(STATISTICS) * BINS
 
 
 _SENTENCE = b".,;:?'\"-()"
-_words: dict[bytes, int] = {}
+_words = Memo(CACHE)
 
 
 def _learn_word(word: bytes) -> int:
@@ -80,10 +80,8 @@ def _learn_word(word: bytes) -> int:
     tail = word.rstrip(_SENTENCE)
     flags = int(_CLASS[word[-1]] == 6) | (2 if len(tail) > 1 and tail.isupper() else 0) | (4 if len(word) > 24 else 0)
     got = xxhash.xxh32_intdigest(word.lower()) % WORDS | flags << 16 | min(len(word), 255) << 20
-    if len(_words) >= CACHE:
-        _words.clear()
     if len(word) < 64:
-        _words[word] = got
+        _words.put(word, got)
     return got
 
 
@@ -108,9 +106,12 @@ def features(text: bytes, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     size = max(1, len(text))
     words = text.split()
     n = len(words)
-    known = list(map(_words.get, words))
+    known = list(map(_words.young.get, words))
     if None in known:
-        known = [_learn_word(w) if k is None else k for w, k in zip(words, known, strict=True)]
+        for i, (word, k) in enumerate(zip(words, known, strict=True)):
+            if k is None:
+                k = _words.find(word)
+                known[i] = _learn_word(word) if k is None else k
     packed = np.array(known, np.int64)
     lines = text.split(b"\n")
     shares = [kinds[k] / size for k in (1, 2, 3, 4, 5, 6, 7)]
@@ -222,7 +223,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             chars = [None] * b.num_rows if at_chars is None else b.column(at_chars).to_pylist()
             got = [sent.value.score(*features(t, n)) for t, n in zip(raw(b.column(at_text)), chars, strict=True)]
             yield pa.record_batch([*b.columns, pa.array(got, pa.float64())], [*names, "quality_score"])

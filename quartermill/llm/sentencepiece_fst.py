@@ -27,7 +27,8 @@ Decoding concatenates the pieces' bytes, unescapes the space mark and takes
 off the dummy prefix.
 
 Scale. One narrow pass, no shuffle. Time is linear in the text, memory bounded
-by the longest document and the table of ``CACHE`` segments.
+by the longest document and tables of ``CACHE`` words, ``CACHE`` segments and
+``PAIRS`` weights (the former two in two generations).
 
 Edge cases. Null and empty texts have no ids and decode to the empty text.
 A text's own U+2581 is read as a space mark (so it decodes to a space, as with
@@ -50,10 +51,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import per_document, raw, schema_of, table
+from .common import Memo, per_document, raw, schema_of, table
 
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 150_000
+#: Pair weights kept; about 70 bytes each.
+PAIRS = 600_000
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -122,14 +125,15 @@ class Transducer:
         #: What each id writes when decoded: control pieces nothing, the unknown piece its usual mark.
         self.text = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
         self.lengths = self._by_start()
-        self.free: dict[tuple[str, str], bool] = {}
+        self.free: dict[int, bool] = {}
+        self.size, self.names = len(pieces), [p for p, _, _ in pieces]
         self.spines: dict[tuple[str, int], list[tuple[str, float]] | None] = {}
         #: Pairs of characters within pieces. Without byte fallback runs of unknown characters must stay together.
         self.spanned = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)} if self.bytes else _Any()
-        self.stems: dict[str, bytes] = {}
+        self.stems = Memo(CACHE)
         #: Whether words and lines can be looked up alone; ids by word, for words behind one space mark or line feed.
         self.wordwise = self.separable and bool(self.bytes) and not any("\n" in p for p in self.id)
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(CACHE)
 
     def _by_start(self) -> dict[str, tuple[int, ...]]:
         """The trie's first two levels: lengths of the pieces that begin with two characters."""
@@ -180,11 +184,6 @@ class Transducer:
         edges only: whichever is best of the merge across and the next merges
         at the two edges comes first.
         """
-        got = self.free.get((a, b))
-        if got is not None:
-            return got
-        if len(self.free) > 1_000_000:
-            self.free.clear()
         left, right = self.spine(a, 1), self.spine(b, 0) if b else None
         if left is None or right is None:
             got = self.merged(a + b) == ([a, b] if b else [a])
@@ -203,38 +202,56 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-        self.free[a, b] = got
+        return got
+
+    def fits(self, before: int, piece: str) -> bool:
+        """Whether ``piece`` may follow the piece with id ``before``; -1: nothing, or a character outside the vocabulary, before it."""
+        key = (before + 1) * self.size + self.id[piece]
+        got = self.free.get(key)
+        if got is None:
+            if len(self.free) >= PAIRS:
+                self.free.clear()
+            got = self.free[key] = self.weight(self.names[before], piece) if before >= 0 else self.weight(piece, "")
         return got
 
     def path(self, text: str) -> list[str]:
         """The pieces of the least-weight path through the lattice of ``text``.
 
-        last[j]: the piece that ends at j on the one path of finite weight there.
+        last[j]: the id of the piece that ends at j on the one path of finite
+        weight there, -1 for a character outside the vocabulary (no merge takes
+        it, so whatever follows starts afresh), -2 for none; first[j]: where it
+        begins.
         """
-        n, score, lengths, free = len(text), self.score, self.lengths, self.free
-        last: list[str] = [""] * (n + 1)
+        n, ids, lengths, free, size = len(text), self.id, self.lengths, self.free, self.size
+        last, first = [-2] * (n + 1), [0] * (n + 1)
+        last[0] = -1
         for i in range(n):
             before = last[i]
-            if i and not before:
+            if before == -2:
                 continue
-            if not last[i + 1]:
-                piece = text[i]
-                fits = free.get((before, piece)) if i else True
-                if fits or fits is None and self.weight(before, piece):
-                    last[i + 1] = piece
-            for k in lengths.get(text[i : i + 2], ()):
-                j = i + k
+            row = (before + 1) * size
+            j = i + 1
+            if last[j] == -2:
+                k = ids.get(text[i])
+                if k is None:
+                    last[j], first[j] = -1, i
+                else:
+                    fits = free.get(row + k)
+                    if fits or fits is None and self.fits(before, text[i]):
+                        last[j], first[j] = k, i
+            for length in lengths.get(text[i : i + 2], ()):
+                j = i + length
                 if j > n:
                     break
-                if last[j] or (piece := text[i:j]) not in score:
+                if last[j] != -2 or (k := ids.get(text[i:j])) is None:
                     continue
-                fits = free.get((before, piece) if i else (piece, ""))
-                if fits or fits is None and (self.weight(before, piece) if i else self.weight(piece, "")):
-                    last[j] = piece
+                fits = free.get(row + k)
+                if fits or fits is None and self.fits(before, text[i:j]):
+                    last[j], first[j] = k, i
         out, at = [], n
         while at:
-            out.append(last[at])
-            at -= len(out[-1])
+            out.append(text[first[at] : at])
+            at = first[at]
         return out[::-1]
 
     def ids(self, text: str) -> list[int]:
@@ -258,13 +275,11 @@ class Transducer:
         for k in range(1, len(text) + 1):
             if k == len(text) or text[k - 1 : k + 1] not in spanned:
                 stem = text[at:k]
-                got = stems.get(stem)
+                got = stems.find(stem)
                 if got is None:
                     got = np.array(self.ids(stem), "<u4").tobytes()
                     if len(stem) < 64:
-                        if len(stems) >= CACHE:
-                            stems.clear()
-                        stems[stem] = got
+                        stems.put(stem, got)
                 out.append(got)
                 at = k
         return b"".join(out)
@@ -273,15 +288,13 @@ class Transducer:
         """The ids of a text as unsigned 32-bit integers."""
         if self.dummy_prefix and self.wordwise and text and text[0] != " " and "  " not in text and SPACE not in text:
             words, spaced = self.words, text.replace("\n", " \n").split(" ")
-            got = list(map(words.get, spaced))
+            got = list(map(words.young.get, spaced))
             if None in got:
                 for k, (word, x) in enumerate(zip(spaced, got, strict=True)):
-                    if x is None and (x := words.get(word)) is None:
+                    if x is None and (x := words.find(word)) is None:
                         x = self.segment(word if word[:1] == "\n" else SPACE + word)
                         if len(word) < 64:
-                            if len(words) >= CACHE:
-                                words.clear()
-                            words[word] = x
+                            words.put(word, x)
                     got[k] = x
             return np.frombuffer(b"".join(got), "<u4")
         parts = self.normalised(text)
