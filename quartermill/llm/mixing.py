@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, schema_of, splitmix, table
+from .common import fresh, materialise, schema_of, sliced, splitmix, table
 
 BLOCK = 64
 SHARD_SLOTS = 4096
@@ -192,14 +192,18 @@ class Mix:
         return rows.select("src", "block", "uid", "doc_id", "size", first.alias("first"), (end - first).alias("n"))
 
     def taken_spans(self) -> DataFrame:
-        """Spans with ``times``, how often the mix takes the block; blocks joined by index."""
+        """Spans with ``times``, how often the mix takes the block; blocks joined by index.
+
+        Spark takes the slots, which come from a range of shards, for a few
+        rows; the hint keeps it from broadcasting them.
+        """
         times = self.slot_rows().groupBy("src", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-        return self.spans().join(times, ["src", "block"])
+        return self.spans().join(times.hint("merge"), ["src", "block"])
 
     def taken(self) -> DataFrame:
         """Every document with size, source_size, target and taken, the words that the mix takes of it."""
         got = self.taken_spans().groupBy("uid").agg(F.sum(F.col("n") * F.col("times")).alias("got"))
-        return self.placed.join(got, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"), "source")
+        return self.placed.join(got.hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"), "source")
 
 
 _WORDS = re.compile(WORD.encode())
@@ -243,11 +247,11 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     own = [fresh(names, x) for x in ("plan_doc", "plan_source", "plan")]
     plans = plans.toDF(*own)
     same = docs["doc_id"].eqNullSafe(plans[own[0]]) & docs["source"].eqNullSafe(plans[own[1]])
-    joined = docs.join(plans, same).select(*[docs[c] for c in names], own[2])
+    joined = docs.join(plans.hint("merge"), same).select(*[docs[c] for c in names], own[2])
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows, texts = [], []
             for k, (text, plan) in enumerate(zip(b.column(at_text).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
                 got = pieces(text or b"", plan["size"], [(x["first"], x["n"], x["times"]) for x in plan["spans"]])
