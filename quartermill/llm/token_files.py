@@ -19,8 +19,9 @@ all documents form one line. Texts are shuffled once, ids never.
 
 Encoding. Tokens never span ASCII white space in this tokenizer (its splits
 are runs of letters, single digits and runs of other characters, and white
-space is dropped), so words are encoded once and kept in a bounded table of
-each Python worker; ``encode_whole`` is the plain call it is tested against.
+space is dropped), so words, and the splits within them, are encoded once and
+kept in bounded tables of each Python worker; ``encode_whole`` is the plain
+call it is tested against.
 
 Edge cases. Null and empty texts have the end id only. Repeated rows are
 documents of their own. An empty table writes no image and gives no row. Other
@@ -29,6 +30,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -41,13 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_null, ids, raw, shared_dir, table
+from .common import NO_ID, Memo, id_or_null, ids, raw, shared_dir, table
 
 END = 1
 BLOCK = 4096
 #: Ids after which an image is closed; a longer document has one of its own size.
 FILE_IDS = 2_000_000
-CACHE = 500_000
+#: Words, and splits of words, that a worker keeps in each of two generations; about 180 bytes each.
+WORDS, SPLITS = 600_000, 400_000
 HEAD = struct.Struct("<4sHHQQQ")
 MAGIC, VERSION = b"QMTF", 1
 
@@ -125,28 +128,80 @@ class Image:
 
 
 class Encoder:
+    """A tokenizer file, with tables of encoded words and of the splits that words are made of.
+
+    Words are looked up alone only if the file's own steps allow it: white
+    space is dropped, and its pattern cuts words into splits that are encoded
+    each by itself. Other tokenizers get whole texts.
+    """
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = width(self.tokenizer.get_vocab_size())
-        self.words: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        rules = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers") or []]
+        suffix = made["model"].get("end_of_word_suffix")
+        self.wordwise = bool(suffix) and rules == ["NFC", "Replace", "Lowercase"] and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and not steps[-1].get("use_regex", True)
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.wordwise else None
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, k in self.tokenizer.get_vocab().items():
+            self.closes[k] = bool(suffix) and piece.endswith(suffix)
+        self.words, self.splits = Memo(WORDS), Memo(SPLITS)
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _learn_splits(self, new: list[str]) -> None:
+        """Encodes splits in one call; each one's ids end with the piece that closes a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(new) and ends[-1] == len(ids):
+            for split, a, z in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.splits.put(split, ids[a:z].tobytes())
+        else:
+            for split in new:
+                self.splits.put(split, np.array(self.encode_whole(split), "<u4").tobytes())
+
+    def _learn_words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. Words of Latin letters, which case and composition rules leave alone, are put together from their splits."""
+        out, cut = {}, {}
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if max(text) < "\u0180" and "<|" not in text:
+                cut[word] = self.pattern.findall(text.lower())
+            else:
+                out[word] = np.array(self.encode_whole(text), "<u4").tobytes()
+        find = self.splits.find
+        unknown = [x for x in {x for parts in cut.values() for x in parts} if find(x) is None]
+        for k in range(0, len(unknown), 1000):
+            self._learn_splits(unknown[k : k + 1000])
+        for word, parts in cut.items():
+            got = [find(x) for x in parts]
+            out[word] = b"".join(got) if None not in got else np.array(self.encode_whole(word.decode()), "<u4").tobytes()
+        return out
+
     def encode(self, text: bytes) -> bytes:
         """A text's ids and the end id, as little-endian 32-bit integers."""
+        if not self.wordwise:
+            return np.array([*self.encode_whole(text.decode("utf-8", "replace")), END], "<u4").tobytes()
         split = text.split()
-        got = list(map(self.words.get, split))
+        got = list(map(self.words.young.get, split))
         if None in got:
-            new = list({w for w, x in zip(split, got, strict=True) if x is None})
-            made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True)}
+            missing = {w for w, x in zip(split, got, strict=True) if x is None}
+            made = {w: x for w in missing if (x := self.words.find(w)) is not None}
+            if new := [w for w in missing if w not in made]:
+                learnt = self._learn_words(new)
+                made |= learnt
+                for w, x in learnt.items():
+                    if len(w) < 64:
+                        self.words.put(w, x)
             got = [made[w] if x is None else x for w, x in zip(split, got, strict=True)]
-            if len(self.words) + len(made) > CACHE:
-                self.words.clear()
-            self.words.update(x for x in made.items() if len(x[0]) < 64)
         got.append(b"\x01\x00\x00\x00")
         return b"".join(got)
 
