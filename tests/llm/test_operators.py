@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quartermill.llm import chat_views, components, license_scan, line_dedup, mixing, quality_fm, sentencepiece_fst, simhash, token_files, transport_stream, vector_search
+import corpus_pipeline
+from quartermill.llm import chat_views, components, license_scan, line_dedup, mixing, quality_fm, sentencepiece_fst, simhash, similar_sets, token_files, transport_stream, vector_search
 from quartermill.llm.common import NO_ID, splitmix
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -265,6 +266,48 @@ def test_one_document_of_each_group_stays(spark):
     assert got == sorted({c for _, c in parts if c is not None})
 
 
+def brute_groups(rows):
+    """Group numbers by all pairs; rows are texts."""
+    sets = []
+    for t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("pairs", [64, 0])
+def test_pipeline_finds_near_copies_like_brute_force(spark, pairs, monkeypatch):
+    monkeypatch.setattr(similar_sets, "PAIRS", pairs)
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, passage = [], text(60)
+    for base in (text(n) for n in (6, 12, 40, 90, 150, 400)):
+        rows.append(" ".join(base))
+        for n in range(14):
+            words = list(base)
+            for _ in range(n % 7 * len(base) // 120 + 1):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+            rows.append(" ".join(words))
+    rows += [" ".join(text(20) + passage + text(rng.randrange(60))) for _ in range(40)]
+    df = docs(spark, [(k, t) for k, t in enumerate(rows)]).unionByName(awkward(spark).where("doc_id is null or doc_id > 0").withColumn("doc_id", F.col("doc_id") + 1000))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    root = brute_groups([t for _, t in rows])
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least.setdefault(r, []).append(NO_ID if d is None else d)
+    got = corpus_pipeline.near_copies(spark, df.repartition(5), "").collect()
+    assert sorted(NO_ID if r.doc_id is None else r.doc_id for r in got) == sorted(map(min, least.values()))
+    prints = {d: brute_print(t, 3) for d, t in rows}
+    assert any(bin(prints[a] ^ prints[b]).count("1") > 2 for m in least.values() for a, b in zip(m, m[1:], strict=False) if NO_ID not in (a, b))
+    assert corpus_pipeline.near_copies(spark, df.limit(0), "").count() == 0
+
+
 # --- 7: transport streams -------------------------------------------------
 
 
