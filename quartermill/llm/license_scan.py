@@ -8,7 +8,10 @@ lost, case changed, set among words of the corpus), against paragraphs of a
 bounded corpus sample and shuffled notices as unknown. A temperature and an
 offset of the unknown class are calibrated on a held-out part. A predicted
 family counts only if a notice of it is found in the paragraph: at least
-``COVERAGE`` of the notice's word trigrams.
+``COVERAGE`` of the notice's word trigrams. Besides single lines, blocks of
+lines up to a blank one are searched for passages that hold as much of a notice
+(a notice may be wrapped, and a block may have several); a passage counts if
+the classifier gives the words it shares with the notice the notice's family.
 
 Plan. Training reads at most ``SAMPLE_DOCS`` documents (those with the
 smallest hash of doc_id), five paragraphs of each at most. Scanning is one
@@ -119,6 +122,7 @@ NOTICES = {
     ],
 }
 
+_BLANK = re.compile(rb"\n(?:[ \t\r\x0b\x0c]*\n)+")
 _WORD = re.compile(rb"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -178,6 +182,52 @@ def covered(paragraph: bytes, family: str) -> float:
     return max(len(t & own[len(next(iter(t)))]) / len(t) for t in _TEMPLATES[family])
 
 
+def _by_gram() -> dict[tuple[bytes, ...], list[int]]:
+    """The notices (numbers in _ALL) that hold each gram."""
+    out: dict[tuple[bytes, ...], list[int]] = {}
+    for k, (_, t) in enumerate(_ALL):
+        for g in t:
+            out.setdefault(g, []).append(k)
+    return out
+
+
+_ALL = [(f, t) for f in FAMILIES for t in _TEMPLATES[f]]
+_BY_GRAM = _by_gram()
+
+
+def passages(block: bytes) -> list[tuple[str, bytes]]:
+    """(family, shared words) of the passages that hold ``COVERAGE`` of a notice of it.
+
+    A passage goes where another family's of higher coverage has most of it.
+    """
+    words = words_of(block)
+    hits: dict[int, list[tuple[int, tuple[bytes, ...]]]] = {}
+    for n in (2, 3):
+        for at, g in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
+            for k in _BY_GRAM.get(g, ()):
+                hits.setdefault(k, []).append((at, g))
+    found = []  # (coverage, family, positions, words of a gram)
+    for k, own in hits.items():
+        family, t = _ALL[k]
+        long, i = len(t) + len(t) // 4 + 3, 0
+        while i < len(own):
+            j = i
+            while j < len(own) and own[j][0] < own[i][0] + long:
+                j += 1
+            share = len({g for _, g in own[i:j]}) / len(t)
+            if share >= COVERAGE:
+                found.append((share, family, {at for at, _ in own[i:j]}, len(own[i][1])))
+                i = j
+            else:
+                i += 1
+    out = []
+    for share, family, own, n in found:
+        spans = [(min(y), max(y) + m) for s, f, y, m in found if f != family and s > share]
+        if not any(2 * sum(a <= at < z for at in own) > len(own) for a, z in spans):
+            out.append((family, b" ".join(words[k] for k in sorted({at + d for at in own for d in range(n)}))))
+    return out
+
+
 class Classifier:
     """Sparse multinomial logistic regression; class 0 is unknown, class k is FAMILIES[k - 1]."""
 
@@ -297,8 +347,28 @@ def confirmed(model: Classifier, paragraphs: list[bytes]) -> list[tuple[str | No
     return out
 
 
+def in_blocks(model: Classifier, texts: list[bytes]) -> list[list[tuple[str, float]]]:
+    """(family, probability) of the notices in each text's blocks of lines, each family once a block."""
+    found = [(k, at, *x) for k, t in enumerate(texts) for at, block in enumerate(_BLANK.split(t)) for x in passages(block)]
+    out: list[list[tuple[str, float]]] = [[] for _ in texts]
+    if found:
+        p = model.probabilities([x[3] for x in found])
+        best: dict[tuple[int, int, str], float] = {}
+        for (k, at, family, _), row in zip(found, p, strict=True):
+            value = float(row[FAMILIES.index(family) + 1])
+            if value >= LEAST and value >= row[0]:
+                best[k, at, family] = max(value, best.get((k, at, family), 0.0))
+        for (k, _, family), value in best.items():
+            out[k].append((family, value))
+    return out
+
+
 def scan(docs: DataFrame, model: Classifier, docs_at_once: int = 200) -> DataFrame:
-    """doc_id, licences (families, sorted, by comma), n_paragraphs, n_confirmed, n_unconfirmed, best (probability)."""
+    """doc_id, licences (families, sorted, by comma), n_paragraphs, n_confirmed, n_unconfirmed, best (probability).
+
+    n_paragraphs and n_unconfirmed are of lines; n_confirmed has lines, and
+    notices of families that no line of the text confirms.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -307,12 +377,15 @@ def scan(docs: DataFrame, model: Classifier, docs_at_once: int = 200) -> DataFra
         for k in range(0, len(texts), docs_at_once):
             lines = [t.split(b"\n") for t in texts[k : k + docs_at_once]]
             found = confirmed(sent.value, [p for x in lines for p in x])
+            whole = in_blocks(sent.value, texts[k : k + docs_at_once])
             at = 0
-            for x in lines:
+            for x, more in zip(lines, whole, strict=True):
                 own = [y for y in found[at : at + len(x)] if y[0]]
                 at += len(x)
                 sure = [y for y in own if y[2]]
-                rows.append((",".join(sorted({y[0] for y in sure})), len(x), len(sure), len(own) - len(sure), round(max((y[1] for y in sure), default=0.0), 6)))
+                loose, lone = len(own) - len(sure), {y[0] for y in sure}
+                sure += [y for y in more if y[0] not in lone]
+                rows.append((",".join(sorted({y[0] for y in sure})), len(x), len(sure), loose, round(max((y[1] for y in sure), default=0.0), 6)))
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.record_batch([b.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "licences", "n_paragraphs", "n_confirmed", "n_unconfirmed", "best"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -178,6 +179,16 @@ def test_notices_are_recognised():
             assert license_scan.confirmed(model, [x.encode()])[0][::2] == (family, True), x
 
 
+def test_wrapped_and_dual_notices(spark):
+    longest = {f: max(x, key=len) for f, x in license_scan.NOTICES.items()}
+    rows = [(k, "some words first\n\n" + textwrap.fill(longest[f], 76, initial_indent=" * ", subsequent_indent=" * ") + "\n\nand last") for k, f in enumerate(license_scan.FAMILIES)]
+    rows += [(100, "Licensed under the MIT license or the Apache License, Version 2.0."), (101, longest["gpl-2.0"] + " " + longest["mit"]), (102, longest["gpl-2.0"] + "\n" + longest["gpl-3.0"]), (103, "This work is\n\nlicensed under no\n\nterms of the License")]
+    df = docs(spark, rows)
+    model = license_scan.Classifier.fit(*license_scan.training_set([b"some words of the corpus and others of it"] * 3))
+    got = {r.doc_id: r.licences for r in license_scan.scan(df, model).collect()}
+    assert got == {**dict(enumerate(license_scan.FAMILIES)), 100: "apache-2.0,mit", 101: "gpl-2.0,mit", 102: "gpl-2.0,gpl-3.0", 103: ""}
+
+
 # --- 5: quality -----------------------------------------------------------
 
 
