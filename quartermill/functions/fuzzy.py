@@ -1,11 +1,11 @@
-"""Fuzzy name matching: blocks by rare tokens, scored by a vectorised UDF."""
+"""Fuzzy name matching: blocks by tokens, scored by a vectorised UDF."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from ..operators.relational import top_n
 
@@ -33,6 +33,12 @@ def score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_sort_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(IntegerType())
+def sorted_length(a: pd.Series) -> pd.Series:
+    """The length that token_sort_ratio sees."""
+    return pd.Series([len(" ".join((x or "").upper().split())) for x in a], dtype="int32")
+
+
 def brand_tokens(name: str):
     """A name's words but the common ones and those of one letter."""
     words = F.split(F.regexp_replace(F.upper(name), "[^A-Z0-9 ]", ""), " +")
@@ -43,14 +49,17 @@ def best_matches(left: DataFrame, right: DataFrame, least: float = 85.0, most_co
     """left_id, right_id, score: each left name's best right name of at least ``least``; ties to the smaller id.
 
     left: left_id, left_name; right: right_id, right_name. Only names that
-    share a brand token are compared. A token that over ``most_common`` right
-    names have is no brand; names that have no other token match by equality of
-    their sorted words alone.
+    share a brand token are compared, and names of equal sorted words. A token
+    that over ``most_common`` right names have is dealt to blocks of about so
+    many; pairs whose lengths can't reach ``least`` are not scored.
     """
-    a = left.withColumn("token", F.explode(brand_tokens("left_name")))
-    b = right.withColumn("token", F.explode(brand_tokens("right_name")))
-    rare = b.groupBy("token").count().where(F.col("count") <= most_common).select("token")
-    pairs = a.join(rare, "token").join(b, "token").select("left_id", "left_name", "right_id", "right_name").distinct()
+    a = left.withColumn("size_a", sorted_length("left_name")).withColumn("token", F.explode(brand_tokens("left_name")))
+    b = right.withColumn("size_b", sorted_length("right_name")).withColumn("token", F.explode(brand_tokens("right_name")))
+    parts = b.groupBy("token").agg(F.ceil(F.count("*") / most_common).cast("int").alias("parts"))
+    a = a.join(parts, "token").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    b = b.join(parts, "token").withColumn("part", F.expr("cast(pmod(xxhash64(right_id), parts) as int)")).drop("parts")
+    reach = 200 * F.least("size_a", "size_b") >= (least - 1e-9) * (F.col("size_a") + F.col("size_b"))
+    pairs = a.join(b, ["token", "part"]).where(reach).select("left_id", "left_name", "right_id", "right_name").distinct()
     key = lambda c: F.array_join(F.array_sort(F.split(F.upper(F.trim(c)), " +")), " ")
     equal = left.join(right, key("left_name") == key("right_name")).select("left_id", "left_name", "right_id", "right_name")
     scored = pairs.unionByName(equal).distinct().withColumn("score", score("left_name", "right_name")).where(F.col("score") >= least)

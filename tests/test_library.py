@@ -125,6 +125,13 @@ def test_fuzzy_names(spark):
     assert fuzzy.token_sort_ratio("abc", "abd") == pytest.approx(200 * 2 / 6)
 
 
+def test_fuzzy_names_of_a_frequent_brand(spark):
+    left = spark.createDataFrame([(1, "Zephyr Growth Opportunity")], "left_id int, left_name string")
+    right = spark.createDataFrame([(k, f"Zephyr {k}") for k in range(1100)] + [(5000, "Zephyr Growht Opportunities")], "right_id int, right_name string")
+    got = fuzzy.best_matches(left, right).collect()
+    assert [(r.left_id, r.right_id) for r in got] == [(1, 5000)] and 85 <= got[0].score < 100
+
+
 # --- readers --------------------------------------------------------------
 
 
