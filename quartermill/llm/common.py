@@ -27,12 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    takes its place.
+    Only where the setting is absent and Spark runs on this machine alone
+    (tests) a temporary folder takes its place; a cluster must name one.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quartermill-"))
         found = sc.getCheckpointDir()
     return found
@@ -98,6 +100,18 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(k, ROWS)
 
 
+def by_size(texts: list[bytes], most: int = 64_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of ``texts`` of at most ``most`` bytes (or one text), so that no Arrow column overflows."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield start, k
+            start, held = k, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def per_document(
     df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]
 ) -> DataFrame:
