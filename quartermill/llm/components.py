@@ -16,7 +16,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     aggregate and links the neighbours to it, so a hub's neighbours are never
     gathered in one row or task. Each round's edges are checkpointed.
 
-    Nulls don't occur; loops are ignored; no edges give no rows.
+    Nulls don't occur; loops are ignored, repeated edges count once, and no
+    edges give no rows. Ids are distinct, so there are no ties.
     """
     stars = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars = materialise(stars)

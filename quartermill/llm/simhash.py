@@ -17,22 +17,26 @@ instead of all pairs. (5) Components of the forest, then the smallest doc_id
 of each.
 
 Scale. A fingerprint is sent to a fixed number of tiles. Tiles with more than
-``tile_rows`` fingerprints are split, and their visitors go to each part.
+``tile_rows`` fingerprints are split into parts, their visitors into groups of
+``tile_rows``, and each part meets each group in a cell of its own; so a cell
+holds about twice ``tile_rows`` values however crowded the tiles are.
 Comparison is exact, so its cost grows with the square of the distinct
 fingerprints over the pruning (about 1.6 % of pairs remain with four blocks,
-0.03 % with eight, which large inputs take).
+0.03 % with eight); ``best_blocks`` weighs the rows to send against the pairs
+to compare. The number of blocks never changes the result.
 
 Edge cases. Null and empty texts, and texts of white space only, have
 fingerprint zero and are linked like any other. A null doc_id takes part but
 is never the smallest; a component of null ids only has a null component_id.
 Repeated rows are copies of each other. An empty table gives an empty result.
-Other columns are not read;
-``keep_one`` passes them through.
+Other columns are not read; ``keep_one`` passes them through, and keeps a row
+of each group whatever its doc_ids are, null and repeated ones too.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +45,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, per_document, raw, table
+from .common import materialise, per_document, raw, table
 from .components import components
+from .similar_sets import one_of_each
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 TILE_ROWS = 20_000
@@ -76,13 +81,32 @@ def majority(hashes: np.ndarray) -> np.uint64:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): fp is the fingerprint as a signed long, text_key xxhash64 of the text."""
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, width) for t in raw(b.column(1))], np.uint64)
-        return pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return per_document(docs, ["doc_id", "text"], "doc_id bigint, fp bigint", work)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return per_document(keyed, ["doc_id", "text", "text_key"], "doc_id bigint, text_key bigint, fp bigint", work)
+
+
+def kept_share(blocks: int, radius: int) -> float:
+    """The share of pairs of random fingerprints whose blocks' population counts allow the radius."""
+    bits = 64 // blocks
+    count = np.array([math.comb(bits, k) for k in range(bits + 1)]) / 2.0**bits
+    apart = np.convolve(count, count[::-1])  # law of the difference of two counts
+    size = np.array([apart[bits + d] + (apart[bits - d] if d else 0) for d in range(min(radius, bits) + 1)])
+    law = np.ones(1)
+    for _ in range(blocks):
+        law = np.convolve(law, size)[: radius + 1]
+    return float(law.sum())
+
+
+def best_blocks(n: int, radius: int = RADIUS, row: float = 2e-6, pair: float = 2e-9) -> int:
+    """The number of blocks of least cost: ``row`` seconds for each row sent, ``pair`` for each comparison of n fingerprints."""
+    cost = {b: n * (1 + len(reach(b, radius))) * row + n * n / 2 * kept_share(b, radius) * pair for b in (2, 4, 8, 16)}
+    return min(cost, key=lambda b: (cost[b], b))
 
 
 def reach(blocks: int, radius: int) -> list[tuple[int, ...]]:
@@ -98,8 +122,8 @@ def reach(blocks: int, radius: int) -> list[tuple[int, ...]]:
     return sorted(found)
 
 
-def links(homes: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within the radius among homes, and between homes and guests."""
+def links(homes: np.ndarray, guests: np.ndarray, radius: int, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within the radius among homes (unless not ``among``), and between homes and guests."""
     n = len(homes)
     nodes = np.concatenate([homes, guests])
     parent = list(range(len(nodes)))
@@ -114,13 +138,14 @@ def links(homes: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarra
     step = max(1, PIECE // max(1, len(nodes)))
     for at in range(0, n, step):
         piece = homes[at : at + step]
-        near = np.bitwise_count(piece[:, None] ^ nodes[None, at + 1 :]) <= radius  # later homes and all guests
+        skip = at + 1 if among else n
+        near = np.bitwise_count(piece[:, None] ^ nodes[None, skip:]) <= radius  # later homes and all guests
         i, j = np.nonzero(near)
         if len(i) > len(nodes):  # a dense group: pairs that are connected already need no look
             roots = np.array([find(x) for x in range(len(nodes))])
-            apart = roots[i + at] != roots[j + at + 1]
+            apart = roots[i + at] != roots[j + skip]
             i, j = i[apart], j[apart]
-        for i, j in zip((i + at).tolist(), (j + at + 1).tolist(), strict=True):
+        for i, j in zip((i + at).tolist(), (j + skip).tolist(), strict=True):
             if i < j and (p := find(i)) != (q := find(j)):
                 parent[p] = q
                 a.append(i)
@@ -129,17 +154,19 @@ def links(homes: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarra
 
 
 def _compare(radius: int):
+    """Links within cells; a cell's rows: homes (kind 0; 1 in cells that leave out the pairs among homes), then guests (kind 2)."""
+
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            tile, sub, guest, fp = part
-            order = np.lexsort((fp, guest, sub, tile))
-            tile, sub, guest, fp = tile[order], sub[order], guest[order], fp[order].view(np.uint64)
-            change = np.flatnonzero((tile[1:] != tile[:-1]) | (sub[1:] != sub[:-1])) + 1
+            cell, kind, fp = part
+            order = np.lexsort((fp, kind, *cell.T[::-1]))
+            cell, kind, fp = cell[order], kind[order], fp[order].view(np.uint64)
+            change = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
             found_a, found_b = [], []
-            for i, j in itertools.pairwise([0, *change.tolist(), len(tile)]):
-                mid = i + int(np.searchsorted(guest[i:j], 1))
+            for i, j in itertools.pairwise([0, *change.tolist(), len(cell)]):
+                mid = i + int(np.searchsorted(kind[i:j], 2))
                 if mid > i and j - i > 1:
-                    a, b = links(fp[i:mid], fp[mid:j], radius)
+                    a, b = links(fp[i:mid], fp[mid:j], radius, kind[i] == 0)
                     found_a.append(a)
                     found_b.append(b)
             if found_a and sum(map(len, found_a)):
@@ -147,9 +174,10 @@ def _compare(radius: int):
 
         held = None
         for b in batches:
-            part = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            got = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            part = [np.stack(got[:3], 1), *got[3:]]
             held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-            last = (held[0] != held[0][-1]) | (held[1] != held[1][-1])  # a tile may go on in the next batch
+            last = (held[0] != held[0][-1]).any(1)  # a cell may go on in the next batch
             if cut := int(last.sum()):
                 yield from done([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
@@ -161,7 +189,7 @@ def _compare(radius: int):
 
 def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b): links between the distinct values of ``prints`` (fp) that connect just what all links connect."""
-    blocks = blocks or (4 if prints.count() < 50_000_000 else 8)
+    blocks = blocks or best_blocks(prints.count(), radius)
     bits = 64 // blocks
     base = bits + 2 * radius + 1
 
@@ -171,42 +199,43 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
             out = out * base + F.bit_count(F.shiftrightunsigned(fp, k * bits).bitwiseAND(F.lit(2**bits - 1 if bits < 64 else -1).cast("bigint"))) + radius
         return out
 
+    steps = F.array(*[F.lit(sum(d * base ** (blocks - 1 - k) for k, d in enumerate(x))).cast("bigint") for x in reach(blocks, radius)])
     homes = prints.select("fp", tile_of(F.col("fp")).alias("tile"))
-    crowded = homes.groupBy("tile").count().where(F.col("count") > tile_rows).select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("parts"))
-    homes = homes.join(crowded, "tile", "left").select("fp", "tile", F.coalesce("parts", F.lit(1)).alias("parts"))
-    homes = homes.withColumn("sub", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
-    own = homes.select("tile", F.explode(F.expr("sequence(sub, parts - 1)")).alias("part"), "sub", "fp").select("tile", F.col("part").alias("sub"), F.expr("cast(part <> sub as int)").alias("guest"), "fp")
-    steps = [sum(d * base ** (blocks - 1 - k) for k, d in enumerate(x)) for x in reach(blocks, radius)]
-    away = homes.select("fp", F.explode(F.array(*[F.col("tile") + F.lit(s).cast("bigint") for s in steps])).alias("tile"))
-    away = away.join(crowded, "tile", "left").select("tile", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("sub"), F.lit(1).alias("guest"), "fp")
-    met = own.unionByName(away).repartition("tile", "sub").sortWithinPartitions("tile", "sub")
-    return met.mapInArrow(_compare(radius), "a bigint, b bigint")
+    counts = materialise(homes.groupBy("tile").agg(F.count(F.lit(1)).alias("n")))
+    visits = counts.select(F.explode(F.transform(steps, lambda s: F.col("tile") + s)).alias("tile"), F.col("n").alias("guests")).groupBy("tile").agg(F.sum("guests").alias("guests"))
+    # parts of the homes, and groups of the guests: visitors, and homes that visit other parts
+    crowded = counts.join(visits, "tile", "left").select("tile", F.ceil(F.col("n") / tile_rows).cast("int").alias("parts"), F.coalesce("guests", F.lit(0)).alias("guests"), "n")
+    crowded = crowded.select("tile", "parts", F.greatest(F.lit(1), F.ceil((F.col("guests") + F.when(F.col("parts") > 1, F.col("n")).otherwise(0)) / tile_rows)).cast("int").alias("groups")).where("parts > 1 or groups > 1")
+    sized = lambda df: df.join(crowded, "tile", "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "groups": F.coalesce("groups", F.lit(1))})
+    homes = sized(homes).withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)")).withColumn("grp", F.expr("cast(pmod(xxhash64(fp, 1), groups) as int)"))
+    own = homes.select("tile", "part", F.explode(F.expr("sequence(0, groups - 1)")).alias("grp"), "fp").withColumn("kind", F.expr("cast(grp > 0 as int)"))
+    across = homes.where("part < parts - 1").select("tile", F.explode(F.expr("sequence(part + 1, parts - 1)")).alias("part"), "grp", "fp", F.lit(2).alias("kind"))
+    away = sized(homes.select("fp", F.explode(F.transform(steps, lambda s: F.col("tile") + s)).alias("tile")))
+    away = away.select("tile", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(fp, 1), groups) as int)").alias("grp"), "fp", F.lit(2).alias("kind"))
+    met = own.unionByName(across).unionByName(away).select("tile", F.col("part").cast("bigint"), F.col("grp").cast("bigint"), "kind", "fp")
+    return met.repartition("tile", "part", "grp").sortWithinPartitions("tile", "part", "grp").mapInArrow(_compare(radius), "a bigint, b bigint")
+
+
+def _rooted(docs: DataFrame, width: int, radius: int, blocks: int | None, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and of each distinct one: fp, rep (its smallest doc_id) and root (its group)."""
+    marked = materialise(fingerprints(docs, width))
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = components(near_pairs(distinct.select("fp"), radius, blocks, tile_rows))
+    return marked, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, blocks: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of its group) of every row of ``docs``."""
-    marked = materialise(fingerprints(docs, width))
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(near_pairs(distinct.select("fp"), radius, blocks, tile_rows))
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    marked, grouped = _rooted(docs, width, radius, blocks, tile_rows)
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those with its smallest doc_id.
-
-    Where rows repeat that doc_id, one of them stays (the first by text). Rows
-    without a doc_id count as one document: at most one of them stays.
-    """
-    names, own = docs.columns, fresh(docs.columns, "leader")
-    groups = near_groups(docs, width, radius)
-    leaders = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias(own)).distinct()
-    stay = docs.join(leaders, docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
-    order = F.struct("text", *[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    least = stay.groupBy("doc_id").agg(F.min_by(F.struct(*names), order).alias("row"))
-    return least.select(*[F.col("row")[c].alias(c) for c in names])
+    """One row of ``docs`` for each group: of its smallest doc_id, null last; other columns pass through."""
+    marked, grouped = _rooted(docs, width, radius, None, TILE_ROWS)
+    return one_of_each(docs, marked.join(grouped, "fp").select("doc_id", "text_key", F.col("root").alias("group")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
