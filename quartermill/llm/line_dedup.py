@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WHITE, binary, fresh, ids, input_partitions, materialise, raw, schema_of, sliced, splitmix, table
+from .common import NO_ID, WHITE, binary, by_size, fresh, ids, input_partitions, materialise, raw, schema_of, sliced, splitmix, table
 
 MIN_CHARS = 10
 #: A line is heavy if it makes up more than this share of all kept keys.
@@ -193,7 +193,7 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | None
     shards = shards or 4 * input_partitions(docs)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             probes = _probes(b, min_chars)
             rows = np.zeros(len(probes), SUM)
             rows["h"], rows["f"], rows["n"], rows["lo"], rows["hi"] = probes["h"], probes["f"], 1, probes["doc"], probes["doc"]
@@ -243,7 +243,7 @@ def lost_lines(docs: DataFrame, index: DataFrame, heavy: set[tuple[int, int]], m
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             probes = _probes(b, min_chars)
             if known.value:
                 probes = probes[[x not in known.value for x in zip(probes["h"].tolist(), probes["f"].tolist(), strict=True)]]
@@ -299,9 +299,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 texts.append(b"\n".join(kept))
                 lines.append(len(keyed))
                 dropped.append(len(keyed) - len(kept))
-            columns = list(b.columns[: len(names)])
-            columns[at_text] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.record_batch([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+            for a, z in by_size(texts):
+                columns = [c.slice(a, z - a) for c in b.columns[: len(names)]]
+                columns[at_text] = pa.array(texts[a:z], pa.binary()).cast(pa.string())
+                yield pa.record_batch([*columns, pa.array(lines[a:z], pa.int64()), pa.array(dropped[a:z], pa.int64())], [*names, "n_lines", "n_dropped"])
 
     lost = lost.toDF(id_name := fresh(names, "lost_id"), key_name := fresh(names, "lost_keys"))
     joined = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(int(NO_ID))) == lost[id_name], "left").select(*[docs[c] for c in names], key_name)

@@ -206,7 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         got = [features(t, n) for t, n in zip(raw(b.column(1)), b.column(2).to_pylist(), strict=True)]
         return pa.record_batch([b.column(0), b.column(3), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], ["doc_id", "quality", "at", "x"])
 
-    joined = docs.select(*_inputs(docs)).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "n_chars", "quality")
+    joined = docs.select(*_inputs(docs)).join(F.broadcast(sample), "doc_id")
+    # one row for each doc_id, the smallest, so that repeated ids can't exceed the bound
+    joined = joined.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "quality")).alias("row")).select("doc_id", "row.*")
     found = per_document(joined, ["doc_id", "text", "n_chars", "quality"], "doc_id bigint, quality int, at binary, x binary", work).collect()
     found.sort(key=lambda r: (r["doc_id"], r["at"], r["x"]))
     if not found:

@@ -248,7 +248,9 @@ def images(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS) -
         if held:
             yield image()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one doc_id, null say, go by a hash of their text, so that they spread as well
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return ordered.mapInArrow(build, "part int, seq int, n_ids bigint, data binary")
 
 
@@ -268,8 +270,11 @@ def read_documents(spark: SparkSession, at: str) -> DataFrame:
                 yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), id_or_null(got.doc_ids), pa.array(got.starts[:-1]), pa.array(np.diff(got.starts)), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema("part int, seq int, n_ids bigint, data binary").parquet(at)
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select(F.col("part").alias("p"), F.col("seq").alias("s"), F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # a row for each writing task, so one window can order them
+    parts = parts.select(F.col("part").alias("p"), before(Window.orderBy("part")).alias("first"))
+    within = files.select("part", "seq", before(Window.partitionBy("part").orderBy("seq")).alias("within"))
+    bases = within.join(parts, within["part"] == parts["p"]).select("p", F.col("seq").alias("s"), (F.col("first") + F.col("within")).alias("base"))
     rows = files.select("part", "seq", "data").mapInArrow(read, "part int, seq int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     joined = rows.join(bases, (rows["part"] == bases["p"]) & (rows["seq"] == bases["s"]))
     return joined.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
