@@ -271,10 +271,27 @@ def test_components_of_a_path_a_cycle_and_a_hub(spark):
 
 
 def test_one_document_of_each_group_stays(spark):
-    df = awkward(spark).withColumn("leader", F.lit("clash"))
-    got = sorted((r.doc_id for r in simhash.keep_one(df).collect() if r.doc_id is not None))
-    parts = {(r.doc_id, r.component_id) for r in simhash.near_groups(df).collect()}
-    assert got == sorted({c for _, c in parts if c is not None})
+    df = awkward(spark).unionByName(docs(spark, [(None, "unlike all others without an id"), (5, "unlike the other rows of its id")])).withColumn("leader", F.lit("clash"))
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    root = list(range(len(rows)))
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                root = [root[j] if x == root[i] else x for x in root]
+    assert len(kept) == len(set(root)) and len({root[rows.index(x)] for x in kept}) == len(kept)
+    for k in set(root):
+        ids = [d for (d, _), x in zip(rows, root, strict=True) if x == k and d is not None]
+        assert [d for x in kept if root[rows.index(x)] == k for d in [x[0]]] == [min(ids, default=None)]
+
+
+def test_blocks_of_bits():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 2**64, 200_000, np.uint64), rng.integers(0, 2**64, 200_000, np.uint64)
+    apart = sum(np.abs(np.bitwise_count((x >> np.uint64(16 * k)) & np.uint64(65535)).astype(int) - np.bitwise_count((y >> np.uint64(16 * k)) & np.uint64(65535))) for k in range(4))
+    assert abs((apart <= 2).mean() / simhash.kept_share(4, 2) - 1) < 0.1
+    assert simhash.best_blocks(1000) <= simhash.best_blocks(10**6) <= simhash.best_blocks(10**9) and simhash.best_blocks(10**9) >= 8
 
 
 def brute_groups(rows):
@@ -396,15 +413,26 @@ def test_quantiser_weighs_the_parallel_residual():
 
 
 def test_every_participant_gets_its_own_view(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "é!"), (2, 0, "system", "alone"), (None, None, "zoe", ""), (1, 600, "ann", "later")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("speaker", F.lit(1))
-    views = {(r.conv_id, r.example, r.speaker): r for r in chat_views.rotate(df).collect()}
-    assert set(views) == {(1, e, s) for e in (0, 1) for s in ("ann", "bob", "unknown")} | {(None, -1, "zoe")}
-    ann = views[1, 0, "ann"]
-    assert ann.text.startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n")
-    assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi < |im_end|><|im_end|>\n"]
-    assert [views[1, 0, "unknown"].text[m.start : m.end] for m in views[1, 0, "unknown"].mask] == ["é!<|im_end|>\n"]
-    assert len(views[1, 0, "bob"].mask) == 2 and views[1, 1, "bob"].mask == []
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "é!"), (2, 0, "system", "alone"), (None, None, "zoe", ""), (1, 600, "ann", "later"), (1, 601, "a\nb", "x"), (1, None, "ann", "loose"), (1, 1200, "bob", "last")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("speaker", F.lit(1)).withColumn("at", F.lit("clash"))
+    got = chat_views.rotate(df).collect()
+    views = {(r.conv_id, r.speaker): [] for r in got}
+    for r in sorted(got, key=lambda r: r.part):
+        views[r.conv_id, r.speaker].append(r)
+    assert set(views) == {(1, s) for s in ("ann", "bob", "unknown", "a b")} | {(None, "zoe")}
+    # brute force: the whole rendering in one piece
+    said = [(r[2] or "unknown", (r[3] or "").replace("<|", "< |")) for r in sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "unknown"))]
+    for speaker in ("ann", "bob", "unknown", "a b"):
+        whole, spans = "", []
+        for role, text in said:
+            role = role.replace("\n", " ")
+            whole += "<|im_start|>" + ("assistant" if role == speaker else role if role == "system" else f"user name={role}") + "\n"
+            spans += [(len(whole), len(whole) + len(text) + 11)] if role == speaker else []
+            whole += text + "<|im_end|>\n"
+        parts = views[1, speaker]
+        assert "".join(r.text for r in parts) == whole and len(parts) == 4
+        assert [(m.start, m.end) for r in parts for m in r["mask"]] == spans
+        assert all(whole[r["at"] :].startswith(r.text) for r in parts) and sum(r.n_turns for r in parts) == len(said)
     assert chat_views.rotate(df.limit(0)).count() == 0
 
 
@@ -431,10 +459,57 @@ def test_targets_stop_at_three_times_the_size():
     assert mixing.targets([10, 1000, 0, 1000], [5, 2, 1, 5]) == [30.0, pytest.approx(1980 * 2 / 7), 0.0, pytest.approx(1980 * 5 / 7)]
 
 
-def test_mix(spark):
+def test_large_draws_follow_the_same_law():
+    rng = np.random.default_rng(5)
+    u = rng.random(4000)
+    ours = np.array([mixing.inverted(3000, 5000, 2000, float(x)) for x in u])
+    theirs = np.random.default_rng(6).hypergeometric(3000, 5000, 2000, 4000)
+    assert abs(ours.mean() - theirs.mean()) < 1.5 and abs(ours.std() / theirs.std() - 1) < 0.05
+    assert mixing.inverted(3, 2, 5, 0.5) == 3 and mixing.inverted(10, 0, 4, 0.999) == 4 and mixing.inverted(0, 10, 4, 0.1) == 0
+    big = mixing.hypergeometric(4 * 10**11, 6 * 10**11, 5 * 10**11, rng)
+    assert abs(big - 2 * 10**11) < 10 * 350_000
+    start, got = mixing.shard_counts((6 * 10**9, 4 * 10**9), 10**10 // 4096 + 1, 4096, 1_000_000)
+    assert sum(got) == 4096 and sum(start) == 4096 * 1_000_000 and 1000 < got[1] < 2300
+
+
+def mix_rows():
     rng = random.Random(11)
-    rows = [(k, " ".join(rng.choice(["a", "bb", "ccc"]) for _ in range(rng.randrange(1, 400))), f"s{k % 4}") for k in range(400)] + [(900, None, None), (901, "one two three", None), (902, "", "s1"), (None, "x y", "s1"), (3, "same id again", "s3")]
-    df = docs(spark, rows).withColumn("plan", F.lit("clash"))
+    rows = [(k, " ".join(rng.choice(["a", "bb", "ccc"]) for _ in range(rng.randrange(1, 400))), f"s{k % 4}") for k in range(400)]
+    more = [(900, None, None), (901, "one two three", None), (902, "", "s1"), (None, "x y", "s1"), (None, "x", "s1"), (3, "same id again", "s3"), (3, None, "s3")]
+    return rows + more + [(7, "equal rows that say the same", "s3")] * 5
+
+
+def brute_mix(mix):
+    """(doc_id, mark, copy) -> [(shard, slot, first, n)], by laying out every word of every source."""
+    held, at = {}, {}
+    for r in mix.placed.collect():
+        for c in range(r.copies):
+            for w in range(r["size"]):
+                place = r.start + c * r["size"] + w
+                assert (r.src, place) not in held
+                held[r.src, place] = (r.doc_id, r.mark, c, w)
+    for src, n in enumerate(mix.sizes):
+        assert all((src, k) in held for k in range(n))
+    out, blocks = {}, [-(-n // mix.block) for n in mix.sizes]
+    for shard in range(mix.shards):
+        start, got = mixing.shard_counts(mix.slots, mix.shards, mix.shard_slots, shard, mix.seed)
+        dealt = []
+        for src, (a, g) in enumerate(zip(start, got, strict=True)):
+            for j in range(a, a + g):
+                p = j // blocks[src]
+                dealt.append((src, int(mixing.permuted(np.array([j % blocks[src]]), blocks[src], mix.seed + 1009 * src + 7919 * p)[0])))
+        for slot, k in enumerate(np.random.default_rng([mix.seed, 1, shard]).permutation(len(dealt)).tolist()):
+            src, block = dealt[k]
+            for place in range(block * mix.block, min((block + 1) * mix.block, mix.sizes[src])):
+                d, m, c, w = held[src, place]
+                out.setdefault((d, m, c), []).append((shard, slot, w))
+                at[shard, slot] = src
+    return out
+
+
+def test_mix(spark):
+    rows = mix_rows()
+    df = docs(spark, rows).withColumn("slot", F.lit("clash"))
     mix = mixing.Mix(df, shard_slots=50)
     got = mix.taken().collect()
     assert len(got) == len(rows) and all(r.taken <= 3 * r["size"] for r in got)
@@ -445,18 +520,34 @@ def test_mix(spark):
     assert all(abs(t - n) <= max(64, 0.02 * t) for t, n in by.values())
     again = mixing.Mix(df.repartition(5), shard_slots=50).taken().collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    texts = mixing.mix_documents(df, mix).collect()
-    one = {r.doc_id: r.taken for r in got if r.doc_id not in (3, None)}
-    words = {}
-    for r in texts:
-        assert r.n_chars == len(r.text)
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-    assert all(words.get(d, 0) == n for d, n in one.items())
+    brute = brute_mix(mix)
+    expected = sorted((d if d is not None else -1, len(x), len({y[:2] for y in x}), min(y[0] for y in x)) for (d, _, _), x in brute.items())
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.taken, r.n_slots, r.first_shard) for r in got if r.taken) == expected
+    other = mixing.Mix(df, shard_slots=50, seed=1).taken().collect()
+    assert sorted(str(r.slots_hash) for r in other) != sorted(str(r.slots_hash) for r in got)
     assert mixing.Mix(df.limit(0)).taken().count() == 0 and mixing.mix_documents(df.limit(0)).count() == 0
 
 
-def test_pieces_keep_the_texts_own_white_space():
-    text = b"a  b\nc d\te"
-    assert mixing.pieces(text, 5, [(0, 2, 2), (2, 2, 1), (4, 1, 1)]) == [text, b"a  b"]
-    assert mixing.pieces(text, 5, [(0, 1, 1), (3, 2, 1)]) == [b"a\nd\te"]
+def test_mixed_texts_are_the_slots_words(spark):
+    rows = mix_rows()
+    for some in (rows, rows[:400]):  # with and without equal rows
+        df = docs(spark, some)
+        mix = mixing.Mix(df, shard_slots=50)
+        out = mixing.mixed(df, mix)
+        parts = [r for p in out.withColumn("p", F.spark_partition_id()).collect() for r in [p]]
+        texts = {spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0]: t for t in {t for _, t, _ in some[400:]}} if len(some) > 400 else {}
+        texts |= {m: t for m, t in df.select(F.xxhash64("text"), "text").collect()}
+        expected = sorted((shard, slot, w, texts[m].split()[w]) for (_, m, _), x in brute_mix(mix).items() for shard, slot, w in x)
+        assert sorted((r.shard, r.slot, r.first_word + k, w) for r in parts for k, w in enumerate(r.text.split())) == expected
+        assert all(r.n_chars == len(r.text) for r in parts)
+        assert len({(r.shard, r.p) for r in parts}) == len({r.shard for r in parts})  # a shard lies in one partition
+        for p in {r.p for r in parts}:
+            own = [(r.shard, r.slot, r.first_word) for r in parts if r.p == p]
+            assert own == sorted(own)
+        assert mixing.mix_documents(df, mix).columns == df.columns
 
+
+def test_pieces_keep_the_texts_own_white_space():
+    text = b" a  b\nc d\te"
+    assert mixing.pieces(text, 5, [(0, 5), (0, 2), (4, 1)]) == [text, b"a  b", b"e"]
+    assert mixing.pieces(text, 5, [(1, 3)]) == [b"b\nc d"]
