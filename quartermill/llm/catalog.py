@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op8_vector_search": vector_search.SQL,
     "op9_chat_views": chat_views.SQL,
 }

@@ -381,7 +381,7 @@ def test_search_takes_part_ties_and_copies(spark):
     rows = [(k, rng.normal(size=6).astype("float32").tolist()) for k in range(300)]
     rows += [(k, rows[50][1]) for k in range(1000, 1200)] + [(300, None), (301, [0.0] * 6), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [1.0] * 5), (None, [1.0] * 6), (0, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    got = vector_search.nearest(df, F.col("vec_id") % 50 == 0, k=5, rerank=40, candidates=128, block=4)
+    got = vector_search.nearest(df, F.col("vec_id") % 50 == 0, k=5, rerank=40, candidates=64)
     by = {}
     for r in got.collect():
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -392,6 +392,26 @@ def test_search_takes_part_ties_and_copies(spark):
     few = vector_search.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert vector_search.nearest(df.where("vec_id = 300"), F.col("vec_id") % 50 == 0).count() == 0
+    # the odd length, at the smallest id too, doesn't take the others out
+    odd = df.union(spark.createDataFrame([(-5, [1.0])], df.schema))
+    assert sorted(map(str, vector_search.nearest(odd, F.col("vec_id") % 50 == 0, k=5, rerank=40, candidates=64).collect())) == sorted(map(str, got.collect()))
+    huge = spark.createDataFrame([(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [2.0, -1.0]), (3, [3e-200, 1e-200])], "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, round(r.score, 9)) for r in vector_search.nearest(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1.0), (3, round(5 / 50**0.5, 9)), (2, 0.0)]
+
+
+def test_cells_keep_recall(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 100)
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(25, 16))
+    rows = [(k, (middles[k % 25] + 0.4 * rng.normal(size=16)).tolist()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    data = vector_search.unit(np.array([v for _, v in rows]))
+    index = vector_search.Index.fit(data, len(data), 5)
+    assert len(index.centres) == 30 and index.visits < 20
+    got = vector_search.nearest(df, F.col("vec_id") % 50 == 0, candidates=50)
+    assert vector_search.recall(got, df, F.col("vec_id") % 50 == 0) >= 0.95
+    for r in got.collect()[:50]:
+        assert abs(r.score - float(data[r.query_id] @ data[r.vec_id])) < 1e-12
 
 
 def test_quantiser_weighs_the_parallel_residual():
