@@ -1 +1 @@
-"""A PySpark-native engine for institutional-ownership analytics."""
+"""A PySpark-native engine for analytics over quarterly portfolio disclosures."""

@@ -50,10 +50,11 @@ def direct_write(prod: DataFrame, staged: DataFrame, keys: list[str]) -> DataFra
     return prod.join(marked, _all(on), "left_anti").unionByName(staged)
 
 
-def insert_or_ignore(prod: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
-    """Only staged rows of new keys are added, one of each."""
+def insert_or_ignore(prod: DataFrame, staged: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Only staged rows of new keys are added: of each key the first in ``order`` (by the other columns where none is given)."""
     marked, on = _keys(prod, keys)
-    return prod.unionByName(staged.dropDuplicates(keys).join(marked, _all(on), "left_anti"))
+    rest = order or [F.col(c).asc_nulls_last() for c in staged.columns if c not in keys] or [F.lit(1)]
+    return prod.unionByName(latest_by(staged, keys, rest).join(marked, _all(on), "left_anti"))
 
 
 def merge_nulls(prod: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:

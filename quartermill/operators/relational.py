@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLIMB_TYPES, OPEN_DATE
+from ..session import checkpointed
 
 
 def open_rows(df: DataFrame) -> DataFrame:
@@ -51,16 +52,21 @@ def climb(entities: DataFrame, relationships: DataFrame, most: int = 10) -> Data
     """entity_id, top_parent_entity_id and hops: the farthest ancestor by open ownership edges.
 
     Of ancestors equally far the smallest counts. Paths end at ``most`` hops,
-    so cycles end too. A level is one join of the frontier, which shrinks to
-    nothing in an ownership forest; the frontier is kept distinct.
+    so cycles end too. Edges are composed with themselves (paths of 1, 2, 4 and
+    8 hops), so a climb is a few joins that Spark plans as a whole; no job runs
+    before the result is asked for.
     """
-    edges = open_rows(relationships).where(F.col("control_type").isin(*CLIMB_TYPES)).select(F.col("child_entity_id").alias("_child"), F.col("parent_entity_id").alias("_parent"))
-    found = frontier = entities.select("entity_id", F.col("entity_id").alias("top"), F.lit(0).cast("bigint").alias("hops"))
-    for hop in range(1, most + 1):
-        frontier = frontier.join(edges, frontier["top"] == edges["_child"]).select("entity_id", F.col("_parent").alias("top"), F.lit(hop).cast("bigint").alias("hops")).distinct()
-        if hop > 2 and frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
+    edges = open_rows(relationships).where(F.col("control_type").isin(*CLIMB_TYPES))
+    power = edges.select(F.col("child_entity_id").alias("_from"), F.col("parent_entity_id").alias("_to")).distinct()
+    found = entities.select("entity_id", F.col("entity_id").alias("top"), F.lit(0).cast("bigint").alias("hops"))
+    step = 1
+    while step <= most:
+        longer = found.where(F.col("hops") + step <= most).join(power, F.col("top") == F.col("_from"))
+        found = found.unionByName(longer.select("entity_id", F.col("_to").alias("top"), (F.col("hops") + step).alias("hops")).distinct())
+        step *= 2
+        if step <= most:
+            then = power.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
+            power = power.join(then, F.col("_to") == F.col("_mid")).select("_from", F.col("_end").alias("_to")).distinct()
     best = found.groupBy("entity_id").agg(F.max_by("top", F.struct(F.col("hops"), -F.col("top"))).alias("top_parent_entity_id"), F.max("hops").alias("hops"))
     return best.select("entity_id", "top_parent_entity_id", "hops")
 
@@ -96,18 +102,15 @@ def descend(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("root", "entity_id").agg(F.min("depth").alias("depth"))
 
 
-def closure(start: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
     """All entity_id that follow edges (src, dst) from ``start``, itself included, to the fixed point.
 
-    Each round joins only what the round before found anew, and checkpoints
-    the found set where the session names a shared folder.
+    Each round joins only what the round before found anew, and writes it to
+    the shared folder; rounds end when nothing new is found, however long the
+    chains are.
     """
-    sc = start.sparkSession.sparkContext
-    keep = (lambda df: df.checkpoint()) if sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") else (lambda df: df.cache())
-    found = new = keep(start.select("entity_id").distinct())
-    for _ in range(rounds):
-        new = keep(new.join(edges, new["entity_id"] == edges["src"]).select(F.col("dst").alias("entity_id")).distinct().join(found, "entity_id", "left_anti"))
-        if new.isEmpty():
-            return found
-        found = keep(found.unionByName(new))
-    raise RuntimeError("no fixed point")
+    found = new = checkpointed(start.select("entity_id").distinct())
+    while not new.isEmpty():
+        new = checkpointed(new.join(edges, new["entity_id"] == edges["src"]).select(F.col("dst").alias("entity_id")).distinct().join(found, "entity_id", "left_anti"))
+        found = checkpointed(found.unionByName(new))
+    return found

@@ -33,7 +33,7 @@ def pct_of_so_as_of(t: Tables) -> DataFrame:
     """
     rows = t.latest.groupBy("ticker", "quarter").agg(F.sum("shares").alias("shares")).withColumn("quarter_end", quarter_end("quarter"))
     rows = as_of(rows, t.soh.withColumnRenamed("shares", "so"), "ticker", "quarter_end", "as_of_date", "so", "soh_shares")
-    rows = rows.join(F.broadcast(t.market_data.select("ticker", "shares_outstanding", "float_shares")), "ticker", "left")
+    rows = rows.join(t.market_data.select("ticker", "shares_outstanding", "float_shares"), "ticker", "left")
     tiers = [("soh_shares", "soh_period_accurate"), ("shares_outstanding", "market_data_so_latest"), ("float_shares", "market_data_float_latest")]
     value = source = None
     for c, name in tiers:
@@ -79,7 +79,7 @@ def benchmark_weights(t: Tables, series: str = "S000001") -> DataFrame:
     """Sector weights of one fund at its latest month; tickers without a sector are out."""
     rows = t.fund_latest.where(F.col("series_id") == series)
     last = F.broadcast(rows.agg(F.max("report_month").alias("last")))
-    by = rows.crossJoin(last).where("report_month = last").join(F.broadcast(t.market_data.select("ticker", "sector")), "ticker").groupBy("report_month", "sector").agg(F.sum("market_value_usd").alias("value"))
+    by = rows.crossJoin(last).where("report_month = last").join(t.market_data.select("ticker", "sector"), "ticker").groupBy("report_month", "sector").agg(F.sum("market_value_usd").alias("value"))
     return by.withColumn("weight_pct", ratio(F.col("value"), F.sum("value").over(Window.partitionBy()), 100))
 
 
@@ -113,11 +113,11 @@ def parent_fund_map(t: Tables) -> DataFrame:
     Families are reduced to their distinct names before the patterns meet
     them, so the pattern join never sees a holding.
     """
-    patterns = F.broadcast(t.base("nation").select(F.col("n_name").alias("parent_name"), F.concat(F.lit("family\\_"), F.col("n_nationkey").cast("string")).alias("pattern")))
+    patterns = t.base("nation").select(F.col("n_name").alias("parent_name"), F.concat(F.lit("family\\_"), F.col("n_nationkey").cast("string")).alias("pattern"))
     families = t.fund_universe.select("family_name").distinct()
     matched = families.join(patterns, F.expr("family_name ilike pattern"))
     excluded = t.fund_holdings.where("fund_strategy in ('excluded', 'final_filing')").select("series_id").distinct()
-    return t.fund_universe.select("series_id", "fund_name", "family_name").join(F.broadcast(matched), "family_name").join(excluded, "series_id", "left_anti").select("parent_name", "series_id", "fund_name")
+    return t.fund_universe.select("series_id", "fund_name", "family_name").join(matched, "family_name").join(excluded, "series_id", "left_anti").select("parent_name", "series_id", "fund_name")
 
 
 FUND_MAP = r"""p AS (SELECT n_name AS parent_name, 'family\_' || CAST(n_nationkey AS VARCHAR) AS pattern FROM nation)

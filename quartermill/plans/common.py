@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relational import climb
 from ..sources.canonical import Tables
 
 
@@ -26,10 +25,8 @@ def at(df: DataFrame, ticker: str | None = None, quarter: str | None = None) ->
 
 
 def top_parents(t: Tables) -> DataFrame:
-    """entity_id and parent_name, the canonical name of its climbed top parent."""
-    top = climb(t.entities, t.relationships)
-    names = t.entities.select(F.col("entity_id").alias("top_parent_entity_id"), F.col("canonical_name").alias("top_name"))
-    return top.join(names, "top_parent_entity_id").select("entity_id", "top_name")
+    """entity_id and top_name, the canonical name of its climbed top parent."""
+    return t.top_parents.select("entity_id", "top_name")
 
 
 def named(t: Tables, holdings: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ desc = F.desc_nulls_last
 
 def query13_sector_movers(t: Tables, sector: str = "ECONOMY", least: int = 5) -> DataFrame:
     """Buyers, sellers and new holders of each stock of a sector between the last two quarters, of stocks with enough movers."""
-    rows = t.latest.where(F.col("quarter").isin(PREVIOUS, LATEST)).join(F.broadcast(t.market_data.where(F.col("sector") == sector).select("ticker")), "ticker", "left_semi")
+    rows = t.latest.where(F.col("quarter").isin(PREVIOUS, LATEST)).join(t.market_data.where(F.col("sector") == sector).select("ticker"), "ticker", "left_semi")
     pick = lambda q: F.sum(F.when(F.col("quarter") == q, F.col("shares")))
     by = rows.groupBy("ticker", "cik").agg(pick(PREVIOUS).alias("p"), pick(LATEST).alias("c")).where("c is not null")
     out = by.groupBy("ticker").agg(F.count_if(F.expr("p is not null and c > p")).alias("buyers"), F.count_if(F.expr("p is not null and c < p")).alias("sellers"), F.count_if(F.expr("p is null")).alias("new"))
@@ -161,7 +161,7 @@ def id_allocation(t: Tables) -> DataFrame:
     names = t.base("part").select(F.col("p_name").alias("name")).distinct().withColumn("bucket", F.crc32("name") % 16)
     counts = names.groupBy("bucket").agg(F.count("*").alias("n"))
     before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
-    top = F.broadcast(t.entities.agg(F.max("entity_id").alias("top")))
+    top = t.entities.agg(F.max("entity_id").alias("top"))
     rows = names.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("name"))).join(before, "bucket").crossJoin(top)
     return rows.agg(F.count("*").alias("n"), F.count_distinct(F.col("top") + F.col("base") + F.col("k")).alias("ids"), F.min(F.col("top") + F.col("base") + F.col("k")).alias("first_id"), F.max(F.col("top") + F.col("base") + F.col("k")).alias("last_id"))
 

@@ -112,7 +112,7 @@ UNION ALL SELECT 'edge', p, c, NULL, depth + 1 FROM down JOIN ed ON entity_id =
 
 def institution_hierarchy(t: Tables) -> DataFrame:
     """Each top parent's filers with their value and number of funds held through, and the whole."""
-    top = climb(t.entities, t.relationships).select("entity_id", "top_parent_entity_id")
+    top = t.top_parents.select("entity_id", "top_parent_entity_id")
     held = t.latest.where(F.col("quarter") == LATEST).groupBy("entity_id", "cik").agg(F.sum("market_value_usd").alias("value"), F.count_distinct("fund_name").alias("funds"))
     rows = held.join(top, "entity_id").groupBy("top_parent_entity_id", F.col("cik")).agg(F.sum("value").alias("value"), F.sum("funds").alias("funds"))
     return rows.withColumn("parent_value", F.sum("value").over(Window.partitionBy("top_parent_entity_id"))).withColumn("filers", F.count("*").over(Window.partitionBy("top_parent_entity_id")))
@@ -127,7 +127,7 @@ def unified_holdings(t: Tables) -> DataFrame:
 
     The legs meet by plain equality: a null key never matches and gives rows of its own.
     """
-    top = climb(t.entities, t.relationships).select("entity_id", F.col("top_parent_entity_id").alias("top"))
+    top = t.top_parents.select("entity_id", F.col("top_parent_entity_id").alias("top"))
     quarters = F.col("quarter").isin(*QUARTERS)
     keys = ["top", "quarter", "cusip", "ticker"]
     a = t.latest.where(quarters).join(top, "entity_id").groupBy(*keys).agg(F.sum("market_value_usd").alias("a"))

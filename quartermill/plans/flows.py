@@ -103,7 +103,7 @@ investor AS (SELECT ticker, period, rid AS rollup_entity_id, manager_type, nulli
 
 def ticker_flow_stats(t: Tables) -> DataFrame:
     """Flow intensity (of market cap) and churn of each ticker and period; by period, so none is counted twice."""
-    f = investor_flows(t).join(F.broadcast(t.market_data.select("ticker", "market_cap")), "ticker", "left")
+    f = investor_flows(t).join(t.market_data.select("ticker", "market_cap"), "ticker", "left")
     stays = ~F.col("is_new_entry") & ~F.col("is_exit")
     other, passive = F.col("manager_type") != "passive", F.col("manager_type") == "passive"
     part = lambda cond: F.sum(F.when(cond, F.col("price_adj_flow")).otherwise(0.0))
@@ -297,7 +297,7 @@ _HPAIRS, _FPAIRS = _pairs_sql("holdings", "cik", "entity_type"), _pairs_sql("fun
 
 def sector_flows_rollup(t: Tables) -> DataFrame:
     """Net, in and out flows, new and exited positions and managers by sector and quarter pair, for all and for active holders."""
-    rows = pair_flows(t.latest, "cik", F.col("entity_type")).join(F.broadcast(t.market_data.select("ticker", "sector")), "ticker")
+    rows = pair_flows(t.latest, "cik", F.col("entity_type")).join(t.market_data.select("ticker", "sector"), "ticker")
     views = rows.withColumn("active_only", F.explode(F.when(F.col("entity_type").isin(*ROTATION_ACTIVE), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     flow, pair = F.col("active_flow"), F.concat("entity", F.lit("|"), "ticker")
     return views.groupBy("active_only", "sector", "quarter_from", "quarter_to").agg(
@@ -315,7 +315,7 @@ SELECT active_only, sector, quarter_from, quarter_to, sum(active_flow) / 100 AS
 
 def sector_flow_movers(t: Tables, sector: str = "ECONOMY") -> DataFrame:
     """Institutions by net flow into a sector over the last pair: top 5 and bottom 5 (none twice)."""
-    rows = pair_flows(t.latest, "cik").where(F.col("quarter_to") == LATEST).join(F.broadcast(t.market_data.where(F.col("sector") == sector).select("ticker")), "ticker", "left_semi")
+    rows = pair_flows(t.latest, "cik").where(F.col("quarter_to") == LATEST).join(t.market_data.where(F.col("sector") == sector).select("ticker"), "ticker", "left_semi")
     flow = F.col("active_flow")
     net = rows.groupBy("entity").agg(dollars(F.sum(flow)).alias("net"), dollars(F.sum(F.when(flow > 0, flow).otherwise(0.0))).alias("buying"), dollars(F.sum(F.when(flow < 0, flow).otherwise(0.0))).alias("selling")).where("net is not null")
     up = top_n(net, [], [F.desc("net"), F.asc("entity")], 5).withColumn("side", F.lit("top"))
@@ -333,7 +333,7 @@ SELECT *, 'top' AS side FROM u UNION ALL SELECT *, 'bottom' FROM d"""
 
 def peer_rotation_flows(t: Tables) -> DataFrame:
     """Flows by level, sector, entity, ticker and quarter pair: 13F parents and funds; positions without an implied price are left out."""
-    sectors = F.broadcast(t.market_data.select("ticker", "sector"))
+    sectors = t.market_data.select("ticker", "sector")
     a = pair_flows(t.latest.withColumn("parent", F.coalesce("rollup_name", "inst_parent_name", "manager_name")), "parent").withColumn("level", F.lit("parent"))
     b = pair_flows(t.fund_latest, "series_id").withColumn("level", F.lit("fund"))
     both = a.unionByName(b).join(sectors, "ticker")
@@ -350,9 +350,9 @@ GROUP BY 1, 2, 3, 4, 5, 6 HAVING sum(active_flow) IS NOT NULL"""
 
 def _entity_ticker(t: Tables, ticker: str) -> DataFrame:
     """Parent-level flow of each entity and ticker of the subject's sector, over all pairs; and the subject's flow of the entity."""
-    sector = F.broadcast(t.market_data.where(F.col("ticker") == ticker).select(F.col("sector").alias("own")))
+    sector = t.market_data.where(F.col("ticker") == ticker).select(F.col("sector").alias("own"))
     rows = pair_flows(t.latest.withColumn("parent", F.coalesce("rollup_name", "inst_parent_name", "manager_name")), "parent")
-    rows = rows.join(F.broadcast(t.market_data.select("ticker", "sector", "industry")), "ticker").join(sector, F.col("sector") == F.col("own"))
+    rows = rows.join(t.market_data.select("ticker", "sector", "industry"), "ticker").join(sector, F.col("sector") == F.col("own"))
     flows = rows.groupBy("entity", "ticker", "industry").agg(F.sum("active_flow").alias("flow")).where("flow is not null")
     return flows.withColumn("subject", F.coalesce(F.sum(F.when(F.col("ticker") == ticker, F.col("flow"))).over(Window.partitionBy("entity")), F.lit(0.0)))
 

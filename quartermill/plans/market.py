@@ -16,7 +16,7 @@ desc = F.desc_nulls_last
 
 def sector_summary(t: Tables, quarter: str = LATEST) -> DataFrame:
     """Value, holders, tickers and active value by sector."""
-    rows = t.latest.where(F.col("quarter") == quarter).join(F.broadcast(t.market_data.select("ticker", "sector")), "ticker")
+    rows = t.latest.where(F.col("quarter") == quarter).join(t.market_data.select("ticker", "sector"), "ticker")
     return rows.groupBy("sector").agg(F.sum("market_value_usd").alias("total_aum"), F.count_distinct("cik").alias("holders"), F.count_distinct("ticker").alias("tickers"), F.sum(F.when(F.col("manager_type").isin(*SUMMARY_ACTIVE), F.col("market_value_usd")).otherwise(0)).alias("active_aum"))
 
 
@@ -43,7 +43,7 @@ def sector_monthly_flows(t: Tables) -> DataFrame:
     step = by.withColumn("p_month", F.lag("report_month").over(w)).withColumn("p_shares", F.lag("shares").over(w))
     paired = step.where(F.date_format(F.add_months(month, -1), "yyyy-MM") == F.col("p_month"))
     flow = (F.col("shares") - F.col("p_shares")) * ratio(F.col("value"), F.col("shares"))
-    return paired.join(F.broadcast(t.market_data.select("ticker", "sector")), "ticker").groupBy("sector", "report_month").agg((F.sum(F.round(flow * 100)) / 100).alias("net_flow"), F.count("*").alias("pairs"))
+    return paired.join(t.market_data.select("ticker", "sector"), "ticker").groupBy("sector", "report_month").agg((F.sum(F.round(flow * 100)) / 100).alias("net_flow"), F.count("*").alias("pairs"))
 
 
 SECTOR_MONTHLY = f"""b AS (SELECT series_id, ticker, report_month, {S("shares")} AS shares, {S("market_value_usd")} AS value FROM fund_holdings
@@ -56,7 +56,7 @@ JOIN market_data m ON c.ticker = m.ticker GROUP BY 1, 2"""
 def short_trend(t: Tables, ticker: str = TICKER) -> DataFrame:
     """Short positions of funds by quarter: funds, shares, and value at the live price."""
     rows = at(t.fund_latest, ticker).where("shares < 0").groupBy("quarter").agg(F.count_distinct("fund_name").alias("fund_count"), F.sum(F.abs("shares")).alias("short_shares"))
-    price = F.broadcast(t.market_data.where(F.col("ticker") == ticker).select("price_live"))
+    price = t.market_data.where(F.col("ticker") == ticker).select("price_live")
     return rows.crossJoin(price).withColumn("short_value", F.col("short_shares") * F.col("price_live")).drop("price_live")
 
 
@@ -112,8 +112,8 @@ SELECT series, quarter, round(avg(pct), 8) AS pct FROM u GROUP BY 1, 2"""
 
 def short_volume_comparison(t: Tables, ticker: str = TICKER) -> DataFrame:
     """Daily short share of volume of a ticker and the medians of its sector and industry."""
-    md = F.broadcast(t.market_data.select("ticker", "sector", "industry"))
-    own = F.broadcast(t.market_data.where(F.col("ticker") == ticker).select(F.col("sector").alias("s"), F.col("industry").alias("i")))
+    md = t.market_data.select("ticker", "sector", "industry")
+    own = t.market_data.where(F.col("ticker") == ticker).select(F.col("sector").alias("s"), F.col("industry").alias("i"))
     rows = t.short_interest.withColumn("short_pct", F.coalesce(ratio(F.col("short_volume"), F.col("total_volume"), 100), F.lit(0.0))).join(md, "ticker").crossJoin(own)
     return rows.groupBy("report_date").agg(F.max(F.when(F.col("ticker") == ticker, F.col("short_pct"))).alias("pct"), F.median(F.when(F.col("sector") == F.col("s"), F.col("short_pct"))).alias("sector_median"), F.median(F.when(F.col("industry") == F.col("i"), F.col("short_pct"))).alias("industry_median"))
 
@@ -156,7 +156,7 @@ def crowding(t: Tables, ticker: str = TICKER, quarter: str = LATEST) -> DataFram
     """Top 20 (holder, type) pairs by share of shares outstanding."""
     by = at(named(t, t.latest), ticker, quarter).groupBy("parent_name", "manager_type", "ticker").agg(F.sum("shares").alias("shares"), F.sum("market_value_live").alias("value"))
     best = top_n(by, [], [desc("shares"), F.asc("parent_name"), F.asc_nulls_last("manager_type")], 20)
-    return best.join(F.broadcast(t.market_data.select("ticker", "shares_outstanding")), "ticker", "left").select("rank", F.col("parent_name").alias("holder"), "manager_type", ratio(F.col("shares"), F.col("shares_outstanding"), 100).alias("pct_so"), "value")
+    return best.join(t.market_data.select("ticker", "shares_outstanding"), "ticker", "left").select("rank", F.col("parent_name").alias("holder"), "manager_type", ratio(F.col("shares"), F.col("shares_outstanding"), 100).alias("pct_so"), "value")
 
 
 CROWDING = f"""{NAMED}, b AS (SELECT parent_name AS holder, manager_type, {S("shares")} AS shares, {S("market_value_live")} AS value FROM named WHERE ticker = '{TICKER}' AND quarter = '{LATEST}' GROUP BY 1, 2)
@@ -274,8 +274,8 @@ def portfolio_context(t: Tables, ticker: str = TICKER, quarter: str = LATEST, be
     """
     rows = t.latest.where(F.col("quarter") == quarter)
     best = top_n(at(rows, ticker).groupBy("cik").agg(F.sum("market_value_live").alias("value")), [], [desc("value"), F.asc("cik")], 25)
-    md = F.broadcast(t.market_data.select("ticker", "sector", "industry"))
-    own = F.broadcast(t.market_data.where(F.col("ticker") == ticker).select(F.col("sector").alias("s"), F.col("industry").alias("i")))
+    md = t.market_data.select("ticker", "sector", "industry")
+    own = t.market_data.where(F.col("ticker") == ticker).select(F.col("sector").alias("s"), F.col("industry").alias("i"))
     book = rows.where("market_value_live > 0").join(F.broadcast(best.select("cik")), "cik", "left_semi").groupBy("cik", "ticker").agg(F.sum("market_value_live").alias("v")).join(md, "ticker", "left").crossJoin(own)
     book = book.withColumn("co_rank", F.row_number().over(Window.partitionBy("cik", "sector").orderBy(F.desc("v"), "ticker"))).withColumn("ind_rank", F.row_number().over(Window.partitionBy("cik", "industry").orderBy(F.desc("v"), "ticker")))
     subject = book.where(F.col("ticker") == ticker).select("cik", "co_rank", "ind_rank")

@@ -84,7 +84,7 @@ def query3_conviction(t: Tables, ticker: str = TICKER, quarter: str = LATEST, fi
     rows = t.latest
     best = at(rows, ticker, quarter).where(F.col("entity_type").isin(*CONVICTION_ACTIVE)).groupBy("cik").agg(F.max("manager_name").alias("manager_name"), F.max("manager_type").alias("manager_type"), F.sum("market_value_live").alias("position_value"), F.sum("shares").alias("shares"))
     best = top_n(best, [], [desc("position_value"), F.asc("cik")], 15)
-    book = rows.where((F.col("quarter") == quarter) & F.col("security_type_inferred").isin("equity", "etf")).join(best.select("cik"), "cik", "left_semi").join(F.broadcast(caps), "ticker").crossJoin(target)
+    book = rows.where((F.col("quarter") == quarter) & F.col("security_type_inferred").isin("equity", "etf")).join(best.select("cik"), "cik", "left_semi").join(caps, "ticker").crossJoin(target)
     book = book.groupBy("cik").agg(F.count_if(F.col("market_cap") <= F.col("target")).alias("below"), F.count("*").alias("held"))
     past = at(rows, ticker).where(F.col("quarter").isin(*QUARTERS) & (F.col("shares") > 0)).join(best.select("cik"), "cik", "left_semi").groupBy("cik", "quarter").agg(F.sum("shares").alias("s"))
     past = past.groupBy("cik").agg(F.min("quarter").alias("since"), F.count("*").alias("held_count"), F.max(F.when(F.col("quarter") == first, F.col("s"))).alias("from_shares"))
@@ -151,7 +151,7 @@ def query7_portfolio(t: Tables, ticker: str = TICKER, quarter: str = LATEST) ->
     rows = t.latest.where(F.col("quarter") == quarter)
     holder = at(rows, ticker).where("manager_type <> 'passive'").groupBy("cik").agg(F.sum("market_value_live").alias("v")).orderBy(F.desc("v"), "cik").limit(1).select("cik")
     book = rows.join(F.broadcast(holder), "cik", "left_semi").groupBy("cik", "ticker").agg(F.sum("shares").alias("shares"), F.sum("market_value_live").alias("value"))
-    book = book.join(F.broadcast(t.market_data.select("ticker", "sector", "market_cap")), "ticker", "left")
+    book = book.join(t.market_data.select("ticker", "sector", "market_cap"), "ticker", "left")
     book = book.withColumn("pct_of_portfolio", ratio(F.col("value"), F.sum("value").over(Window.partitionBy("cik")), 100))
     w = Window.partitionBy("cik").orderBy(desc("value"), "ticker")
     return book.withColumn("rank", F.row_number().over(w).cast("bigint"))
@@ -183,7 +183,7 @@ def query9_sector_rotation(t: Tables, ticker: str = TICKER, quarter: str = LATES
     """Sector mix of the active holders of a ticker."""
     rows = t.latest.where(F.col("quarter") == quarter)
     holders = at(rows, ticker).where(F.col("entity_type").isin(*SECTOR_MIX_ACTIVE)).select("cik").distinct()
-    mix = rows.join(holders, "cik", "left_semi").join(F.broadcast(t.market_data.select("ticker", "sector")), "ticker").groupBy("sector").agg(F.count_distinct("ticker").alias("num_stocks"), F.sum("market_value_live").alias("total_value"))
+    mix = rows.join(holders, "cik", "left_semi").join(t.market_data.select("ticker", "sector"), "ticker").groupBy("sector").agg(F.count_distinct("ticker").alias("num_stocks"), F.sum("market_value_live").alias("total_value"))
     return mix.withColumn("pct_of_total", ratio(F.col("total_value"), F.sum("total_value").over(Window.partitionBy()), 100))
 
 

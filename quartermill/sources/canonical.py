@@ -8,9 +8,14 @@ query's quarter filter prunes directories.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.relational import climb
+from ..session import scratch
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -105,15 +110,26 @@ DEFINITIONS = {
 }
 
 
+#: What was stored, by application, folder, table and the state of the files it is made of.
+_stored: dict[tuple, DataFrame] = {}
+#: Facts are written by quarter, sorted by ticker, so a query's quarter and ticker prune files and row groups.
+FACTS = ("holdings", "fund_holdings")
+
+
 class Tables:
-    """The canonical tables of a folder as DataFrames, each built when first asked for."""
+    """The canonical tables of a folder as DataFrames.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    A table is derived and written to the shared folder when it is first asked
+    for, and read from there by every later query of the session, until the
+    files it is made of change. ``stored=False`` derives it in each query.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = True):
+        self.spark, self.sf_dir, self.stored = spark, sf_dir, stored
         self._made: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._once(f"base {name}", (name,), lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DEFINITIONS:
@@ -121,10 +137,33 @@ class Tables:
         made = self.__dict__["_made"]
         if name not in made:
             text = DEFINITIONS[name]
-            used = {b: self.base(b) for b in BASE if f"{{{b}}}" in text}
-            made[name] = self.spark.sql(text, **used)
+            used = tuple(b for b in BASE if f"{{{b}}}" in text)
+            made[name] = self.derived(name, used, lambda: self.spark.sql(text, **{b: self.base(b) for b in used}))
         return made[name]
 
+    def derived(self, name: str, bases: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+        """The table that ``make`` gives, stored under ``name`` while the files of ``bases`` stay as they are."""
+        if not self.stored:
+            return make()
+        return self._once(name, bases, lambda: self._write(name, make()))
+
+    def _write(self, name: str, df: DataFrame) -> DataFrame:
+        to = scratch(self.spark, f"table-{name}")
+        write(df, name, to)
+        return self.spark.read.schema(df.schema).parquet(to)
+
+    def _once(self, name: str, bases: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, tuple(map(self._state, bases)))
+        if key not in _stored:
+            _stored[key] = make()
+        return _stored[key]
+
+    def _state(self, base: str) -> tuple[int, int]:
+        """When a base table was written, and its size."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{base}.parquet")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
+
     @cached_property
     def latest(self) -> DataFrame:
         """Current rows of the 13F facts."""
@@ -135,6 +174,25 @@ class Tables:
         """Current rows of the fund facts."""
         return self.fund_holdings.where("is_latest")
 
+    @cached_property
+    def top_parents(self) -> DataFrame:
+        """entity_id, its climbed top parent, the hops to it and its name: stored, since most queries name holders by it."""
+
+        def make() -> DataFrame:
+            top = climb(self.entities, self.relationships)
+            names = self.entities.select(F.col("entity_id").alias("top_parent_entity_id"), F.col("canonical_name").alias("top_name"))
+            return top.join(names, "top_parent_entity_id", "left").select("entity_id", "top_parent_entity_id", "hops", "top_name")
+
+        return self.derived("top_parents", ("region", "nation", "customer", "supplier"), make)
+
+
+def write(df: DataFrame, name: str, to: str) -> None:
+    """Writes a canonical table; facts by quarter, in ranges of quarter and ticker."""
+    if name in FACTS:
+        df.repartitionByRange("quarter", "ticker").sortWithinPartitions("quarter", "ticker").write.mode("overwrite").partitionBy("quarter").parquet(to)
+    else:
+        df.write.mode("overwrite").parquet(to)
+
 
 def statement(body: str) -> str:
     """A DuckDB statement: the canonical tables that ``body`` names (and those they need), then ``body``.
@@ -149,7 +207,6 @@ def statement(body: str) -> str:
 
 
 def store(tables: Tables, to: str) -> None:
-    """Writes all canonical tables to ``to``, the facts partitioned by quarter."""
+    """Writes all canonical tables to ``to``."""
     for name in DEFINITIONS:
-        writer = getattr(tables, name).write.mode("overwrite")
-        (writer.partitionBy("quarter") if name in ("holdings", "fund_holdings") else writer).parquet(f"{to}/{name}")
+        write(getattr(tables, name), name, f"{to}/{name}")
