@@ -137,16 +137,6 @@ SELECT f.cik, f.manager_name, num_filings, total_positions, parent_name, aum_tot
 FROM f LEFT JOIN managers m ON f.cik = m.cik"""
 
 
-def fund_classify(t: Tables) -> DataFrame:
-    """Fund strategies by the equity share of reported value: 0.90, 0.60 and 0.30."""
-    by = t.fund_latest.groupBy("series_id").agg(F.max("fund_name").alias("fund_name"), F.sum(F.when(F.col("asset_category").isin("EC", "EP"), F.col("market_value_usd")).otherwise(0)).alias("eq"), F.sum("market_value_usd").alias("total"))
-    return by.select("series_id", "fund_name", X.fund_strategy(F.col("fund_name"), F.coalesce(ratio(F.col("eq"), F.col("total")), F.lit(0.0)), F.lit(1)).alias("strategy"))
-
-
-FUND_CLASSIFY = f"""b AS (SELECT series_id, max(fund_name) AS fund_name, coalesce({S("CASE WHEN asset_category IN ('EC', 'EP') THEN market_value_usd ELSE 0 END")}::DOUBLE / nullif({S("market_value_usd")}, 0), 0) AS s FROM fund_holdings WHERE is_latest GROUP BY 1)
-SELECT series_id, fund_name, CASE WHEN s >= 0.90 THEN 'active' WHEN s >= 0.60 THEN 'balanced' WHEN s >= 0.30 THEN 'multi_asset' ELSE 'bond_or_other' END AS strategy FROM b"""
-
-
 def amendment_resolution(t: Tables) -> DataFrame:
     """One line of each (order, line number): the last by ship date and a total order over the rest."""
     li = t.base("lineitem")
@@ -268,9 +258,17 @@ def clean_pages(t: Tables) -> DataFrame:
     return t.base("pages").select("page_id", X.clean_text(F.col("html")).alias("text")).select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-CLEAN = r"""SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#x?[0-9a-fA-F]+;', ' ', 'g'), '&\w+;', ' ', 'g'),
-  '(\d)\s+(\d)', '\1\2', 'g'), '(\d)\s+(\d)', '\1\2', 'g'), '(\d)\s*\.\s*(\d)', '\1.\2', 'g'), '\s+', ' ', 'g') AS t FROM pages) q"""
+def _clean_sql(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for old, new in X.ENTITIES:
+        out = f"replace({out}, '{old}', '{new.replace(chr(39), chr(39) * 2)}')"
+    out = rf"regexp_replace({out}, '&(#x[0-9a-fA-F]+|#[0-9]+|\w+);', ' ', 'g')"
+    for pattern, to in ((r"(\d)\s+(\d)", r"\1\2"), (r"(\d)\s+(\d)", r"\1\2"), (r"(\d)\s*\.\s*(\d)", r"\1.\2"), (r"\s+", " ")):
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return out
+
+
+CLEAN = f"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, {_clean_sql('html')} AS t FROM pages) q"
 
 
 def normalise_names(t: Tables) -> DataFrame:
@@ -282,16 +280,6 @@ def normalise_names(t: Tables) -> DataFrame:
 NAMES = r"""SELECT entity_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(trim(lower(canonical_name) || '  Corporation  l.l.c.,')), '\bCORPORATION\b', 'CORP', 'g'), '\bL\.L\.C\.', 'LLC', 'g'), '[.,;]+$', ''), '\s+', ' ', 'g')) AS normal FROM entities"""
 
 
-def extract_13dg(t: Tables) -> DataFrame:
-    """Fields of filing texts: percent and shares owned, cusip, by the ordered cascade of patterns."""
-    b = t.beneficial
-    text = F.concat(F.lit("CUSIP No. 12345"), F.substring("subject_ticker", 2, 2), F.lit(" Aggregate amount beneficially owned by each reporting person "), F.col("shares_owned").cast("string"),
-                    F.lit(" Percent of class represented by amount in row (11) "), F.floor("pct_owned").cast("string"), F.lit(".5 %"))
-    return b.select("accession_number", X.cusip(text).alias("cusip"), X.shares_owned(text).alias("shares"), X.pct_owned(text).alias("pct"))
-
-
-EXTRACT = """SELECT accession_number, '12345' || substring(subject_ticker, 2, 2) AS cusip, CASE WHEN shares_owned = 0 OR shares_owned >= 100 THEN shares_owned END AS shares, floor(pct_owned) + 0.5 AS pct FROM beneficial"""
-
 QUERIES = {
     "pct_of_so_as_of": (pct_of_so_as_of, statement(PCT_OF_SO)),
     "summary_by_ticker": (summary_by_ticker, statement(BY_TICKER)),
@@ -300,7 +288,6 @@ QUERIES = {
     "beneficial_ownership_current": (beneficial_ownership_current, statement(BOC)),
     "parent_fund_map": (parent_fund_map, statement(FUND_MAP)),
     "managers_build": (managers_build, statement(MANAGERS_BUILD)),
-    "fund_classify": (fund_classify, statement(FUND_CLASSIFY)),
     "amendment_resolution": (amendment_resolution, statement(AMENDMENTS)),
     "promote_append_latest": (promote_append_latest, statement(APPEND)),
     "promote_scd2": (promote_scd2, statement(SCD2)),
@@ -312,5 +299,4 @@ QUERIES = {
     "admin_manager_changes": (admin_manager_changes, statement(CHANGES)),
     "clean_pages": (clean_pages, statement(CLEAN)),
     "normalise_names": (normalise_names, statement(NAMES)),
-    "extract_13dg": (extract_13dg, statement(EXTRACT)),
 }

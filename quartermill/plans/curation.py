@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LATEST, PREVIOUS, QUARTERS, TICKER, sql_list
-from ..functions import rules
 from ..operators import promote
 from ..operators.relational import open_rows, ratio, top_n
 from ..sources.canonical import Tables, statement
@@ -81,15 +80,6 @@ s AS (SELECT cusip, max(seed) AS asset_category_seed, count(*) AS n_rows FROM u
 SELECT s.*, issuer_name FROM s LEFT JOIN k ON s.cusip = k.cusip"""
 
 
-def classify_securities(t: Tables) -> DataFrame:
-    """Canonical types of securities by their category seed: derivatives first, then debt and cash, else the type text's rules."""
-    seeds = t.fund_holdings.groupBy("cusip").agg(F.max("asset_category").alias("seed"), F.min("asset_category").alias("first_seed"))
-    return seeds.select("cusip", "seed", rules.security_type(F.col("first_seed"), F.concat(F.col("first_seed"), F.lit(" SHS CL A"))).alias("canonical_type"))
-
-
-CLASSIFY = """SELECT cusip, max(asset_category) AS seed, CASE min(asset_category) WHEN 'DBT' THEN 'BOND' ELSE 'OTHER' END AS canonical_type FROM fund_holdings GROUP BY 1"""
-
-
 def parent_bridge(t: Tables) -> DataFrame:
     """Each filer's parent: the first seed, in stated order, whose text its name holds; else itself."""
     seeds = [("#00000001", "Alpha"), ("#0000001", "Beta"), ("7", "Gamma")]
@@ -231,7 +221,6 @@ QUERIES = {
     "nport_position": (nport_position, statement(NPORT_POSITION)),
     "fund_children_of_parents": (fund_children_of_parents, statement(CHILDREN)),
     "cusip_universe": (cusip_universe, statement(UNIVERSE)),
-    "classify_securities": (classify_securities, statement(CLASSIFY)),
     "parent_bridge": (parent_bridge, statement(BRIDGE)),
     "market_data_merge": (market_data_merge, statement(MARKET_MERGE)),
     "securities_insert_missing": (securities_insert_missing, statement(INSERT_MISSING)),

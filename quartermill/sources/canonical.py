@@ -24,6 +24,29 @@ _TYPE = """CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'active' WHEN 'BUILDING' T
 _TICKER = "'P' || lpad(CAST({} % 40 AS STRING), 2, '0')"
 _QUARTER = "CAST(year(l.l_shipdate) AS STRING) || 'Q' || CAST(quarter(l.l_shipdate) AS STRING)"
 
+
+
+def pick(x: str, values: list[str | None]) -> str:
+    """SQL: the value whose place is ``x`` modulo their number."""
+    return f"CASE {x} % {len(values)} " + " ".join(f"WHEN {k} THEN {'NULL' if v is None else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)}" for k, v in enumerate(values)) + " END"
+
+
+# Type texts, categories, sectors and exchanges that together reach each branch of the security ladder.
+_RAW = [
+    None, "", "COM", "cl a", "SHS CL B", "Common Stock", "PFD SER A", "SPDR ETF COM", "Warrants exp", "CALL", "put option", "MF Closed and MF Open", "REIT / COM", "BANK LOAN", "CONV CVT", "US TREAS", "NTF BOND FUNDS", "CASH", "FOREIGN",
+    "COMMON STOCK - FOREIGN", "SPONSORED ADR", "SPON ADS", "UIT 01/02/2003", "UNIT 01/02/2003", "SPAC & REIT", "mystery", "mystery and riddle", "0", "CLO", "ORD SHS", "COM NEW", "CL A SHS", "RIGHTS & WARRANTS", "equity fund / bond", "PS", " , - ", "money market",
+]
+_CATEGORY = [None, "EC", "EP", "RE", "DBT", "ABS-O", "LON", "DE", "DFE", "STIV", "RA", "COMM", "OTHER", "WAR", None, "EC", None, None, None]
+_SECTOR = [None, "Equity", None, "Corp", "Pfd", None, "Comdty", "Curncy", "Elsewhere", None, "Equity", None, None]
+_EXCHANGE = ["US", None, "OTC US", "GR", "NYQ"]
+_FIRMS = [
+    "Index House", "S&P Watchers", "Cayman Holdings", "Plain Advisers", "Quant Lab", "Two Sigma Friends", "Diversified Advisers", "Multi-Strategy Group", "Buyout Partners", "Venture Co", "Starboard Value LP", "Third Point LLC", "Engine No. 1", "Capital Partners",
+    "Growth Equity Office", "Land & Buildings", "Algorithmic Trading", "Old Family Office", "Renaissance",
+]
+_FUNDS = [" Growth", " S&P 500 Index", " Money Market", " Target Date", " 2x Inverse", " Income", " Russell Fund 2000", " Exchange Traded", " Feeder Fund", " Balanced", " Select Sector", " Broad Market", " Value"]
+_TICKERS = [None, "", "ABC 4.5", "ABC-WT", "ABC/WS", "ABC-PA", "ABC-P", "ABC*", "ABCUSD", "USD", "ABC", "BRK.B"]
+_K = "o_orderkey"
+
 DEFINITIONS = {
     "holdings": f"""
   SELECT lpad(CAST(l.l_orderkey AS STRING), 12, '0') AS accession_number, lpad(CAST(o.o_custkey AS STRING), 10, '0') AS cik,
@@ -107,6 +130,27 @@ DEFINITIONS = {
               WHEN o_orderpriority LIKE '4%' THEN 'SC 13G/A' ELSE 'SC 13G' END AS filing_type,
          CAST(o_orderdate AS DATE) AS filing_date, o_totalprice / 50000 AS pct_owned, CAST(round(o_totalprice) AS BIGINT) AS shares_owned
   FROM {{orders}}""",
+    "security_rows": f"""
+  SELECT p_partkey AS row_id, {pick("p_partkey", _RAW)} AS raw, {pick("p_partkey", _CATEGORY)} AS category, {pick("p_partkey", _SECTOR)} AS sector, {pick("p_partkey", _EXCHANGE)} AS exchange FROM {{part}}""",
+    "filing_rows": f"""
+  SELECT {_K} AS filing_id, CAST(o_custkey AS STRING) AS filer, {pick(_K, ["SC 13D", "SC 13D/A", "SC 13G", "SC 13G/A"])} AS filing_type,
+    '<p>CUSIP No. ' || lpad(CAST({_K} % 1000 AS STRING), 9, '0') || '</p>&nbsp; ' ||
+    {pick(_K, ["NAME OF REPORTING PERSON: Alpha Partners CHECK THE BOX", "Item 1: Reporting Person - Beta Capital Item 2", "NAMES OF REPORTING PERSONS I.R.S. (12) Gamma Fund 2 x", "NAME OF REPORTING PERSON (1) Delta Trust Item", "none named", "", "no one"])} || ' ; ' ||
+    replace({pick(_K, ["PERCENT OF CLASS REPRESENTED BY AMOUNT IN ROW (9): @%", "13. PERCENT OF CLASS REPRESENTED BY AMOUNT IN ROW (11) @%", "Percent of class represented by row 11 is about @ %", "Item 11. Percent of Class Owned: @%", "Item 11: @%", "Percentage of the Class: @%", "percent of class held in all @%", "New percentage after the sale @%", "PERCENT OF CLASS REPRESENTED BY AMOUNT IN ROW (11) about @", "no share is named"])}, '@', CAST({_K} % 120 AS STRING) || '.5') || ' ; ' ||
+    replace({pick(_K, ["AGGREGATE AMOUNT BENEFICIALLY OWNED BY EACH REPORTING PERSON @", "11. AGGREGATE AMOUNT BENEFICIALLY OWNED (all): @", "Item 9. Aggregate Amount Owned: @", "Aggregate Amount Owned by Each Reporting Person, in all @ shares", "Item 9: @", "Amount Beneficially Owned: @", "SHARED VOTING POWER @", "SOLE VOTING POWER @", "no amount is named"])}, '@', CAST(10 + {_K} % 977 * 7 AS STRING)) || ' ; ' ||
+    replace({pick(_K, ["Date of Event Which Requires Filing of this Statement) March @, 2001", "Date of Event: 3/@/2001", "Date of Event: 2001-03-0@", "Date of Event: 13/45/2001", "no date"])}, CASE WHEN {_K} % 5 = 2 THEN '0@' ELSE '@' END, CASE WHEN {_K} % 5 = 2 THEN lpad(CAST(1 + {_K} % 28 AS STRING), 2, '0') ELSE CAST(1 + {_K} % 28 AS STRING) END) || ' ; ' ||
+    replace({pick(_K, ["Item 4. Purpose of Transaction. The filer bought lot @. <b>Item 5</b> Interest", "Item 4 Purpose: to hold lot @ and nothing else", "Item 3 is all"])}, '@', CAST({_K} AS STRING)) AS html
+  FROM {{orders}}""",
+    "advisers": f"""
+  SELECT lpad(CAST(c_custkey + 100000 AS STRING), 9, '0') AS crd_number, {pick("c_custkey", _FIRMS)} || ' ' || CAST(c_custkey AS STRING) AS firm_name,
+         CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS STRING) END AS adv_cik, CAST(c_custkey % 101 AS DOUBLE) AS pct, {pick("c_custkey", ["N", "N", "Y", None, "N", "N", "N"])} AS hedge, {pick("c_custkey", ["N", None, "N", "N", "Y"])} AS private,
+         {pick("c_custkey", ["N", "N", "N", "N", "N", "N", "N", "N", "Y", "N", "N"])} AS venture, CAST(round(c_acctbal * 1000) AS BIGINT) AS raum, {pick("c_nationkey", ["NY", "CA", None, "TX"])} AS state FROM {{customer}}""",
+    "fund_names": f"""
+  SELECT 'S' || lpad(CAST(s_suppkey AS STRING), 6, '0') AS series_id, s_name || {pick("s_suppkey", _FUNDS)} AS fund_name, s_suppkey % 31 = 5 AS is_final FROM {{supplier}}""",
+    "code_rows": f"""
+  SELECT p_partkey AS row_id, CASE WHEN p_partkey % 7 = 3 THEN 'x' WHEN p_partkey % 7 = 5 THEN NULL ELSE CAST(6000 + p_partkey % 800 AS STRING) END AS sic, {pick("p_partkey", _TICKERS)} AS ticker FROM {{part}}""",
+    "curated_types": """
+  SELECT lower(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'wealth_management' ELSE 'endowment' END AS kind, c_custkey AS pos FROM {customer} WHERE c_custkey % 11 = 0 AND c_custkey % 4 < 3""",
 }
 
 

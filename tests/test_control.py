@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quartermill import control
 from quartermill.functions import rules
+from quartermill.functions import text as X
 
 
 def test_lineage_orders_rebuilds():
@@ -36,12 +37,31 @@ def test_staleness():
 
 
 def test_security_types(spark):
-    rows = [("DE", "x", "OPTION"), ("LON", "x", "BOND"), ("STIV", None, "CASH"), (None, "CL A", "COM"), ("EC", "SHS CL B", "COM"), ("EC", "Common Stock", "COM"), ("EC", "PFD SER A", "PREF"), ("EC", "SPDR ETF COM", "ETF"), ("EC", "WARRANT EXP", "WARRANT"), ("EC", "mystery", "OTHER"), (None, None, "OTHER")]
-    df = spark.createDataFrame(rows, "seed string, t string, want string")
-    assert [r[0] for r in df.select(rules.security_type(F.col("seed"), F.col("t"))).collect()] == [w for _, _, w in rows]
+    rows = [
+        ("x", "DE", None, "OPTION"), ("x", "LON", None, "BOND"), (None, "STIV", None, "CASH"), ("CL A", None, None, "COM"), ("SHS CL B", "EC", None, "COM"), ("Common Stock", "EC", None, "COM"), ("PFD SER A", "EC", None, "PREF"),
+        ("SPDR ETF COM", "EC", None, "ETF"), ("WARRANT EXP", "EC", None, "WARRANT"), ("mystery", "EC", None, "COM"), (None, "EP", None, "PREF"), (None, None, None, "OTHER"), ("MF Closed and MF Open", None, None, "CEF"),
+        ("SPAC / REIT", None, None, "REIT"), ("mystery", None, "Govt", "BOND"), ("FOREIGN", None, None, "FOREIGN"), ("ADR", "EC", "Equity", "ADR"), ("UNIT 01/02/2003", None, None, "OTHER"),
+    ]
+    df = spark.createDataFrame(rows, "raw string, category string, sector string, want string")
+    got = df.select(rules.classify_security(F.col("raw"), F.col("category"), F.col("sector"), F.lit("GR")).alias("c")).select("c.*").collect()
+    assert [r.canonical_type for r in got] == [w for *_, w in rows]
+    assert got[15].is_equity and not got[15].is_priceable and got[0].confidence == "high" and got[0].is_permanent and got[16].source == "market_sector"
 
 
 def test_adviser_strategies(spark):
-    rows = [("Big Index", 90.0, None, None, "passive"), ("Plain", 5.0, None, None, "passive"), ("Plain", 90.0, "Y", None, "hedge_fund"), ("Quant Lab", 90.0, "N", None, "quantitative"), ("Plain", 50.0, None, "y", "private_equity"), ("Plain", 80.0, None, None, "active"), (None, 50.0, None, None, "unknown")]
-    df = spark.createDataFrame(rows, "n string, p double, h string, e string, want string")
-    assert [r[0] for r in df.select(rules.adviser_strategy(F.col("n"), F.col("p"), F.col("h"), F.col("e"))).collect()] == [w for *_, w in rows]
+    rows = [
+        ("Big Index", 90.0, None, None, None, "passive"), ("Plain", 5.0, None, None, None, "passive"), ("Plain", 90.0, "Y", None, None, "hedge_fund"), ("Cayman One", 90.0, "N", None, None, "hedge_fund"), ("Quant Lab", 90.0, "N", None, None, "quantitative"),
+        ("Diversified", 90.0, None, None, None, "multi_strategy"), ("Plain", 50.0, None, "y", None, "private_equity"), ("Plain", 50.0, None, None, "Y", "private_equity"), ("Plain", 80.0, None, None, None, "active"), (None, 50.0, None, None, None, "unknown"),
+    ]
+    df = spark.createDataFrame(rows, "n string, p double, h string, e string, v string, want string")
+    c = F.col
+    assert [r[0] for r in df.select(rules.adviser_strategy(c("n"), c("p"), c("h"), c("e"), c("v"))).collect()] == [w for *_, w in rows]
+    assert df.select(rules.is_activist(F.lit("The STARBOARD VALUE fund"))).first()[0] and not df.select(rules.is_activist(F.lit(None).cast("string"))).first()[0]
+
+
+def test_filing_texts(spark):
+    rows = [
+        ("Date of Event: 3/5/2001 Item 4. Purpose of Transaction. To hold. Item 5 NAME OF REPORTING PERSON: Alpha LP CHECK", "SC 13D"), ("Date of Event: 31/31/2001 Item 4 Purpose", "SC 13D/A"), ("", "SC 13G"), (None, None)]
+    df = spark.createDataFrame(rows, "t string, k string")
+    got = df.select(X.event_date(F.col("t")).cast("string"), X.purpose(F.col("t"), F.col("k")), X.reporting_person(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("2001-03-05", "To hold.", "Alpha LP"), (None, None, None), (None, None, None), (None, None, None)]
