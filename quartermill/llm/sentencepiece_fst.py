@@ -1,21 +1,25 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled to a transducer of three parts. The normaliser
-writes the dummy prefix and escapes spaces. The piece transducer has an arc
-for every piece (read from a trie), and for a character outside the vocabulary
-an arc that writes its UTF-8 bytes as byte pieces (<unk> without them). The
-weights sit on pairs of neighbouring arcs: 0 where byte-pair merging leaves
-the two pieces as they are when they stand side by side, infinite where it
-would merge across or inside them. Composition with an input gives a lattice
-over its positions, and the path of least weight in the tropical semiring
-(sums along a path, minimum over paths) is the encoding.
-
-Why this is exact. Merging always takes the best pair, leftmost among equals,
+The model file is compiled to machines. ``Normaliser``: states "start" and
+"body"; the start writes the dummy prefix, and arcs of the body rewrite spaces.
+``Pieces``: a trie whose states are prefixes of pieces, with arcs for their
+characters and, at the end of a piece, an arc back to the root that writes its
+id; the fallback has an arc from the root for every character that is no piece,
+writing its UTF-8 bytes as byte pieces (<unk> without them). ``weight``: a
+machine whose states are the last piece. For unigram models a piece's arc
+weighs its negative score, whatever came before. For byte-pair models the
+weight sits on pairs of neighbours: 0 where merging leaves the two pieces as
+they are when they stand side by side, infinite where it would merge across or
+inside them. Composition with an input is made as the path is searched: a
+state is a position and the last piece, and the path of least weight in the
+tropical semiring (sums along a path, minimum over paths) is the encoding.
+
+Why this is exact for byte pairs. Merging always takes the best pair, leftmost among equals,
 and what it does inside two neighbouring pieces doesn't depend on the text
 around them until something merges across their edges. So a sequence of pieces
 is the result of merging if, and only if, each two neighbours are the result
 of merging their own text. Only one path has a finite weight, for each prefix
-too, so the relaxation keeps one piece for each position.
+too, so a position has one state of finite weight at most.
 
 The lattice falls apart wherever no piece can span a position. The compiler
 reads from the vocabulary which two characters stand side by side in a piece;
@@ -91,8 +95,36 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Normaliser:
+    """Two states: the start, which writes ``prefix`` before any text, and the body, whose arcs rewrite characters (others as they are)."""
+
+    def __init__(self, prefix: str, arcs: dict[str, str]):
+        self.prefix, self.table = prefix, str.maketrans(arcs)
+
+    def __call__(self, text: str) -> str:
+        """What the one path of the text writes."""
+        return (self.prefix + text).translate(self.table) if text else ""
+
+
+class Pieces:
+    """The trie of the pieces: ``arcs[state]`` by character, ``final[state]`` the id of the piece that ends there (-1: none)."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final = [-1]
+        for piece, k in ids.items():
+            state = 0
+            for c in piece:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append(-1)
+                state = self.arcs[state][c]
+            self.final[state] = k
+
+
 class Transducer:
-    """A byte-pair-encoding model compiled for encoding and decoding."""
+    """A byte-pair or unigram model compiled for encoding and decoding."""
 
     def __init__(self, path: str):
         pieces: list[tuple[str, float, int]] = []
@@ -107,8 +139,9 @@ class Transducer:
                     trainer = dict(fields(value))
                 elif number == 3:
                     rules = dict(fields(value))
-        if trainer.get(3, 1) != 2:
-            raise ValueError("only byte-pair-encoding models are supported")
+        if trainer.get(3, 1) not in (1, 2):
+            raise ValueError("only unigram and byte-pair-encoding models are supported")
+        self.unigram = trainer.get(3, 1) == 1
         if rules.get(2):
             raise ValueError("models with a character map in their normaliser are not supported")
         if any(kind in (USER_DEFINED, UNUSED) for _, _, kind in pieces):
@@ -120,11 +153,14 @@ class Transducer:
         self.id = {p: k for k, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next(k for k, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN)
-        self.longest = max(map(len, self.id), default=1)
+        self.normalised = Normaliser(" " if self.dummy_prefix else "", {" ": SPACE})
+        self.pieces = Pieces(self.id)
+        #: What arcs weigh: of a unigram model's pieces, and of a character that is none.
+        self.cost = [-s for _, s, _ in pieces] if self.unigram else None
+        self.unknown_cost = 10 - min(self.score.values(), default=0.0)
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         #: What each id writes when decoded: control pieces nothing, the unknown piece its usual mark.
         self.text = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
-        self.lengths = self._by_start()
         self.free: dict[int, bool] = {}
         self.size, self.names = len(pieces), [p for p, _, _ in pieces]
         self.spines: dict[tuple[str, int], list[tuple[str, float]] | None] = {}
@@ -135,14 +171,6 @@ class Transducer:
         self.wordwise = self.separable and bool(self.bytes) and not any("\n" in p for p in self.id)
         self.words = Memo(CACHE)
 
-    def _by_start(self) -> dict[str, tuple[int, ...]]:
-        """The trie's first two levels: lengths of the pieces that begin with two characters."""
-        out: dict[str, set[int]] = {}
-        for p in self.id:
-            if len(p) > 1:
-                out.setdefault(p[:2], set()).add(len(p))
-        return {c: tuple(sorted(n)) for c, n in out.items()}
-
     def merged(self, text: str) -> list[str]:
         """The definition: merge the neighbours whose union has the best score, leftmost first, until none is a piece."""
         parts = list(text)
@@ -204,71 +232,78 @@ class Transducer:
                     j += 1
         return got
 
-    def fits(self, before: int, piece: str) -> bool:
-        """Whether ``piece`` may follow the piece with id ``before``; -1: nothing, or a character outside the vocabulary, before it."""
-        key = (before + 1) * self.size + self.id[piece]
+    def step(self, before: int, piece: int) -> float:
+        """The weight of the arc of a piece after the piece ``before`` (ids); -1: nothing, or a character that is no piece."""
+        if self.cost is not None:
+            return self.cost[piece] if piece >= 0 else self.unknown_cost
+        if piece < 0:  # no merge takes such a character, and whatever follows it starts afresh
+            return 0.0
+        key = (before + 1) * self.size + piece
         got = self.free.get(key)
         if got is None:
             if len(self.free) >= PAIRS:
                 self.free.clear()
-            got = self.free[key] = self.weight(self.names[before], piece) if before >= 0 else self.weight(piece, "")
+            stays = self.weight(self.names[before], self.names[piece]) if before >= 0 else self.weight(self.names[piece], "")
+            got = self.free[key] = 0.0 if stays else math.inf
         return got
 
-    def path(self, text: str) -> list[str]:
-        """The pieces of the least-weight path through the lattice of ``text``.
+    def path(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, id or -1) of the arcs of the least-weight path through the composition with ``text``.
 
-        last[j]: the id of the piece that ends at j on the one path of finite
-        weight there, -1 for a character outside the vocabulary (no merge takes
-        it, so whatever follows starts afresh), -2 for none; first[j]: where it
-        begins.
+        best[j]: by last piece, the least weight of a path to (j, last), and where it came from. With
+        byte pairs a position that has a state is done, as it has no other of finite weight.
         """
-        n, ids, lengths, free, size = len(text), self.id, self.lengths, self.free, self.size
-        last, first = [-2] * (n + 1), [0] * (n + 1)
-        last[0] = -1
+        step, arcs, final, root = self.step, self.pieces.arcs, self.pieces.final, self.pieces.arcs[0]
+        pairs, free, size, n = self.cost is None, self.free, self.size, len(text)
+        best: list[dict[int, tuple[float, int, int, int]]] = [{-1: (0.0, -1, -1, -1)}, *({} for _ in range(n))]
         for i in range(n):
-            before = last[i]
-            if before == -2:
+            here = best[i]
+            if not here:
                 continue
-            row = (before + 1) * size
-            j = i + 1
-            if last[j] == -2:
-                k = ids.get(text[i])
-                if k is None:
-                    last[j], first[j] = -1, i
-                else:
-                    fits = free.get(row + k)
-                    if fits or fits is None and self.fits(before, text[i]):
-                        last[j], first[j] = k, i
-            for length in lengths.get(text[i : i + 2], ()):
-                j = i + length
-                if j > n:
+            state, j = root.get(text[i]), i + 1
+            if state is None or final[state] < 0:  # the fallback's arc
+                for before, (weight, *_) in here.items():
+                    total = weight + step(before, -1)
+                    if -1 not in best[j] or total < best[j][-1][0]:
+                        best[j][-1] = (total, i, before, -1)
+            while state is not None:
+                piece = final[state]
+                if piece >= 0 and not (pairs and best[j]):
+                    for before, (weight, *_) in here.items():
+                        if pairs:
+                            got = free.get((before + 1) * size + piece)
+                            if got is None:
+                                got = step(before, piece)
+                            if got == 0.0:
+                                best[j][piece] = (weight, i, before, piece)
+                        else:  # these weights don't ask what came before
+                            total = weight + step(before, piece)
+                            if -1 not in best[j] or total < best[j][-1][0]:
+                                best[j][-1] = (total, i, before, piece)
+                if j == n:
                     break
-                if last[j] != -2 or (k := ids.get(text[i:j])) is None:
-                    continue
-                fits = free.get(row + k)
-                if fits or fits is None and self.fits(before, text[i:j]):
-                    last[j], first[j] = k, i
+                state = arcs[state].get(text[j])
+                j += 1
         out, at = [], n
+        last = min(best[at], key=lambda k: (best[at][k][0], k), default=-1)
         while at:
-            out.append(text[first[at] : at])
-            at = first[at]
+            _, start, before, piece = best[at][last]
+            out.append((start, at, piece))
+            at, last = start, before
         return out[::-1]
 
     def ids(self, text: str) -> list[int]:
         """Ids of one normalised segment, with byte fallback."""
         out: list[int] = []
-        for p in self.path(text):
-            if p in self.id:
-                out.append(self.id[p])
+        for start, end, piece in self.path(text):
+            if piece >= 0:
+                out.append(piece)
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
+                out += [self.bytes[b] for b in text[start:end].encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
 
-    def normalised(self, text: str) -> str:
-        return ((" " if self.dummy_prefix and text else "") + text).replace(" ", SPACE)
-
     def segment(self, text: str) -> bytes:
         """Ids of a piece of normalised text, cut further wherever no piece of the vocabulary spans two characters."""
         spanned, stems, out, at = self.spanned, self.stems, [], 0

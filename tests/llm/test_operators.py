@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import textwrap
 
 import numpy as np
@@ -104,6 +105,45 @@ def test_encoding_equals_the_library(pieces):
         assert own.decode(got) == library.decode(want), t
 
 
+def test_the_path_is_the_least_of_all(pieces):
+    own, _ = pieces
+
+    def all_paths(text, at=0, before=-1):
+        if at == len(text):
+            yield 0.0, []
+            return
+        ends = [(j, own.id[text[at:j]]) for j in range(at + 1, len(text) + 1) if text[at:j] in own.id]
+        if text[at : at + 1] not in own.id:
+            ends.append((at + 1, -1))
+        for end, piece in ends:
+            for weight, rest in all_paths(text, end, piece):
+                yield own.step(before, piece) + weight, [(at, end, piece), *rest]
+
+    for text in ("▁the", "▁stating", "▁a梦b", "x", "▁▁in", "ation\n"):
+        found = sorted(all_paths(text), key=lambda x: x[0])
+        assert found[0][0] == 0 and (len(found) == 1 or found[1][0] == float("inf")) and own.path(text) == found[0][1]
+    assert own.normalised("a b") == "▁a▁b" and own.normalised("") == ""
+
+
+def test_unigram_models(tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    field = lambda k, x: varint(k << 3) + varint(x) if isinstance(x, int) else varint(k << 3 | 2) + varint(len(x)) + x
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + field(3, kind))
+    rng = random.Random(3)
+    vocabulary = sorted({"".join(rng.choice("abc▁") for _ in range(rng.randrange(1, 5))) for _ in range(60)} | set("abc▁"))
+    vocabulary = [v for v in vocabulary if "▁" not in v[1:]]
+    for fallback in (True, False):
+        rows = [piece("<unk>", 0, 2), piece("<s>", 0, 3), piece("</s>", 0, 3)] + ([piece(f"<0x{b:02X}>", 0, 6) for b in range(256)] if fallback else [])
+        rows += [piece(v, -rng.randrange(1, 2000) / 128, 1) for v in vocabulary]
+        model = b"".join(rows) + field(2, field(3, 1) + field(35, int(fallback))) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+        (tmp_path / "m").write_bytes(model)
+        own, library = sentencepiece_fst.Transducer(str(tmp_path / "m")), sentencepiece.SentencePieceProcessor(model_proto=model)
+        for _ in range(600):
+            t = "".join(rng.choice("aabbcc é☃") for _ in range(rng.randrange(25)))
+            assert own.encode(t).tolist() == library.encode(t), t
+
+
 def test_weights_equal_the_definition(pieces):
     own, _ = pieces
     rng = random.Random(2)
