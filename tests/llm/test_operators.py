@@ -611,3 +611,14 @@ def test_pieces_keep_the_texts_own_white_space():
     text = b" a  b\nc d\te"
     assert mixing.pieces(text, 5, [(0, 5), (0, 2), (4, 1)]) == [text, b"a  b", b"e"]
     assert mixing.pieces(text, 5, [(1, 3)]) == [b"b\nc d"]
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(12)
+    for n, m in ((0, 1), (5, 300), (3000, 3100), (3000, 40_000)):
+        shared = rng.integers(0, 2**64, min(n, m) // 2, np.uint64)
+        x, y = (np.unique(np.concatenate([shared, rng.integers(0, 2**64, k - len(shared), np.uint64)])) for k in (n, m))
+        differ = len(np.setxor1d(x, y))
+        found = similar_sets.apart(similar_sets.wide_sketch(x), similar_sets.wide_sketch(y))
+        assert found <= differ and (max(n, m) > 2 * min(n, m) or found >= 0.7 * differ)
+    assert similar_sets.apart(similar_sets.wide_sketch(x), similar_sets.wide_sketch(x)) == 0
