@@ -162,8 +162,10 @@ class Encoder:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) == len(new) and ends[-1] == len(ids):
-            for split, a, z in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.splits.put(split, ids[a:z].tobytes())
+            data, start = ids.tobytes(), 0
+            for split, end in zip(new, (4 * ends).tolist(), strict=True):
+                self.splits.put(split, data[start:end])
+                start = end
         else:
             for split in new:
                 self.splits.put(split, np.array(self.encode_whole(split), "<u4").tobytes())
@@ -172,8 +174,11 @@ class Encoder:
         """Ids of new words. Words of Latin letters, which case and composition rules leave alone, are put together from their splits."""
         out, cut = {}, {}
         for word in new:
+            if word.isalpha():  # ASCII letters only: one split
+                cut[word] = (word.lower().decode(),)
+                continue
             text = word.decode("utf-8", "replace")
-            if max(text) < "\u0180" and "<|" not in text:
+            if (text.isascii() or max(text) < "\u0180") and "<|" not in text:
                 cut[word] = self.pattern.findall(text.lower())
             else:
                 out[word] = np.array(self.encode_whole(text), "<u4").tobytes()
@@ -182,7 +187,7 @@ class Encoder:
         for k in range(0, len(unknown), 1000):
             self._learn_splits(unknown[k : k + 1000])
         for word, parts in cut.items():
-            got = [find(x) for x in parts]
+            got = list(map(find, parts))
             out[word] = b"".join(got) if None not in got else np.array(self.encode_whole(word.decode()), "<u4").tobytes()
         return out
 
@@ -193,7 +198,8 @@ class Encoder:
         split = text.split()
         got = list(map(self.words.young.get, split))
         if None in got:
-            missing = {w for w, x in zip(split, got, strict=True) if x is None}
+            gaps = [k for k, x in enumerate(got) if x is None]
+            missing = {split[k] for k in gaps}
             made = {w: x for w in missing if (x := self.words.find(w)) is not None}
             if new := [w for w in missing if w not in made]:
                 learnt = self._learn_words(new)
@@ -201,7 +207,8 @@ class Encoder:
                 for w, x in learnt.items():
                     if len(w) < 64:
                         self.words.put(w, x)
-            got = [made[w] if x is None else x for w, x in zip(split, got, strict=True)]
+            for k in gaps:
+                got[k] = made[split[k]]
         got.append(b"\x01\x00\x00\x00")
         return b"".join(got)
 
