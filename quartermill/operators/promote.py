@@ -80,3 +80,18 @@ def downgrades(prod: DataFrame, staged: DataFrame, keys: list[str], columns: lis
     both = empty.join(held, _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
     cases = F.array_compact(F.array(*[F.when(F.col(f"{c}_null") & (F.col(f"{c}_held") > 0), F.struct(F.lit(c).alias("column"), F.col(f"{c}_held").alias("displaced"))) for c in columns]))
     return both.select(*keys, F.explode(cases).alias("case")).select(*keys, "case.*")
+
+
+def rollback(prod: DataFrame, impacts: DataFrame, keys: list[str]) -> DataFrame:
+    """The version before a run of ``append_is_latest``, from its log: keys and ``action``.
+
+    The log is undone last entry first: latest rows of inserted keys go, then
+    stale rows of flipped keys turn latest. A log that names other actions
+    can't be undone from itself; restore a snapshot then.
+    """
+    inserted = F.bool_or(F.col("action") == "insert").alias("_inserted")
+    flipped = F.bool_or(F.col("action") == "flip_is_latest").alias("_flipped")
+    log = impacts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(inserted, flipped)
+    rows = prod.join(log, _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+    rows = rows.where(~(F.coalesce("_inserted", F.lit(False)) & F.col("is_latest")))
+    return rows.withColumn("is_latest", F.col("is_latest") | F.coalesce("_flipped", F.lit(False))).select(*prod.columns)

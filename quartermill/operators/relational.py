@@ -114,3 +114,15 @@ def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
         new = checkpointed(new.join(edges, new["entity_id"] == edges["src"]).select(F.col("dst").alias("entity_id")).distinct().join(found, "entity_id", "left_anti"))
         found = checkpointed(found.unionByName(new))
     return found
+
+
+def not_in(df: DataFrame, column: str, other: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``column`` is NOT IN ``other``'s ``key`` as SQL means it.
+
+    A null in the list leaves no row, a null value no row unless the list is
+    empty. An anti join on equality and one row of counts, so neither side has
+    to fit a broadcast as in the planner's null-aware join.
+    """
+    counts = other.agg(F.count("*").alias("_n"), F.count_if(F.col(key).isNull()).alias("_nulls"))
+    rest = df.join(other.select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_anti").crossJoin(F.broadcast(counts))
+    return rest.where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull())).select(*df.columns)

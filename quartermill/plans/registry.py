@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.canonical import Tables
-from . import builders, curation, entities, flows, ladders, market, register
+from . import answers, builders, curation, entities, flows, ladders, market, register
 
-FAMILIES = (register, flows, market, entities, builders, curation, ladders)
+FAMILIES = (register, flows, market, entities, builders, curation, ladders, answers)
 
 
 def _bound(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
