@@ -219,3 +219,18 @@ def test_amended_batches_turn_rows_stale(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "v0")).collect())) == [("1", 1, False), ("1", 5, True), ("2", 6, True), ("3", 3, True)]
+
+
+def test_not_in_knows_nulls(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "n int, x string")
+    lists = {("a",): [2], ("a", None): [], (): [1, 2, 3]}
+    for values, left in lists.items():
+        other = spark.createDataFrame([(v,) for v in values], "y string")
+        assert sorted(r.n for r in relational.not_in(rows, "x", other, "y").collect()) == left
+
+
+def test_rollback_undoes_inserts_before_flips(spark):
+    before = spark.createDataFrame([("1", "a", True), ("2", "b", True)], "k string, c string, is_latest boolean")
+    after = promote.append_is_latest(before, spark.createDataFrame([("2", "B"), ("3", "C")], "k string, c string"), ["k"])
+    log = spark.createDataFrame([("2", "flip_is_latest"), ("2", "insert"), ("3", "insert")], "k string, action string")
+    assert sorted(map(tuple, promote.rollback(after, log, ["k"]).collect())) == sorted(map(tuple, before.collect()))
