@@ -28,7 +28,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 at least) stays."""
+    """One document of each group of near copies stays.
+
+    SimHash tiles find pairs of fingerprints of five-word shingles, an exact way those out of
+    their radius; similarity 0.8 at least is confirmed exactly for both.
+    """
     return similar_sets.keep_one(docs)
 
 

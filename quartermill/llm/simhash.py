@@ -46,8 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, per_document, raw, table
-from .components import components
-from .similar_sets import one_of_each
+from .components import components, one_of_each
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 TILE_ROWS = 20_000

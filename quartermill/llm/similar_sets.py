@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of their word shingles.
+"""Near copies by SimHash tiles, then exact similarity of the word shingles.
 
 A text's words (A-Z in lower case, split at ASCII white space) give a set of
 shingles of ``WIDTH`` words (all words where there are fewer), held as XXH64
@@ -6,23 +6,30 @@ values. Texts are linked if the Jaccard similarity of their sets is at least
 4/5; a group is a connected component of links. No link is left to chance: a
 pair is only passed over where its similarity can't reach 4/5.
 
-Plan. (1) One narrow pass names each row's set by a hash of it, and counts
-shingles in ``CELLS`` cells. (2) All sets are put into one order of shingles,
-those of crowded cells last; sets of similarity 4/5 share one of their first
-n - ceil(4n/5) + 1 shingles, so just these are sent out, to a bucket each.
-(3) Pairs of a bucket whose sizes allow 4/5 are candidates. A crowded bucket
-first compares each set to one leader only; in a second round those of its
-pairs that are not yet in one group, and whose parity sketches (a lower bound
-of the sets' difference) allow 4/5, are candidates as well. (4) Candidates
-whose sketches allow it get the exact similarity. (5) Components of the links.
-
-Scale. A set is sent out a fifth of its shingles times. Shingles in many texts
+Plan. (1) One narrow pass names each row's set by a hash of it, makes its
+SimHash fingerprint (bits set in over half of the set's hashes), and counts
+shingles in ``CELLS`` cells. (2) The tiles of ``simhash`` compare the distinct
+fingerprints by exclusive-or; sets whose fingerprints differ in ``RADIUS`` bits
+or fewer are candidates, one pair for each link of the tiles' forest and one
+for each further set of a fingerprint. (3) Similarity 4/5 leaves about ten of
+64 bits apart, so what the radius and the forest leave out comes in an exact
+way: all sets are put into one order of shingles, those of crowded cells last;
+sets of similarity 4/5 share one of their first n - ceil(4n/5) + 1 shingles, so
+just these are sent out, to a bucket each. (4) Pairs of a bucket whose sizes
+allow 4/5 are candidates too. A crowded bucket first compares each set to one
+leader only; in a second round those of its pairs that are not yet in one group,
+and whose parity sketches (a lower bound of the sets' difference) allow 4/5, are
+candidates as well. (5) Candidates whose sketches allow it get the exact
+similarity. (6) Components of the links.
+
+Scale. A fingerprint is sent to a fixed number of tiles, whose comparisons grow
+as ``simhash`` says. A set is sent out a fifth of its shingles times. Shingles in many texts
 reach a bucket only for sets that consist of them by four fifths; there, groups
 of near copies cost a few comparisons a member, and only unlike sets of so
 common shingles would cost the square.
 
 Edge cases. Null and empty texts, and texts of white space only, have one
-(empty) set. Repeated rows are copies of each other. Rows stand for themselves
+(empty) set, of fingerprint zero. Repeated rows are copies of each other. Rows stand for themselves
 whatever their doc_id, null and repeated ones too. An empty table gives an
 empty result. Two shingles, or two sets, of equal 64-bit hash count as equal.
 """
@@ -38,10 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, raw, runs, sliced, splitmix
-from .components import components
+from .common import materialise, raw, runs, sliced, splitmix
+from .components import components, one_of_each
+from .simhash import majority, near_pairs
 
 WIDTH, SEED = 5, 42
+#: Bits in which the fingerprints of a candidate of the tiles differ at most.
+RADIUS = 3
 #: Cells that shingles are counted in, to put common ones last.
 CELLS, CHUNK = 1 << 18, 1 << 12
 #: Buckets of more pairs take two rounds.
@@ -65,6 +75,11 @@ def set_key(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes(), SEED)
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, unsigned."""
+    return int(majority(own)) if len(own) else 0
+
+
 def sketch(own: np.ndarray, bits: int = BITS) -> bytes:
     """Parities of the hashes' counts in ``bits`` cells; two sets differ in as many members as sketches in bits, or more."""
     counts = np.bincount((own & np.uint64(bits - 1)).view(np.int64), minlength=bits)
@@ -104,22 +119,23 @@ def _signed(values: list[int]) -> pa.Array:
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's set, and at the end the task's counts by chunks of cells."""
-    names, counts = ["doc_id", "text_key", "key", "n", "parity", "wide", "chunk", "counts"], np.zeros(CELLS, np.int64)
+    names, counts = ["doc_id", "text_key", "key", "n", "fp", "parity", "wide", "chunk", "counts"], np.zeros(CELLS, np.int64)
     for b in sliced(batches):
-        keys, sizes, parities, wide = [], [], [], []
+        keys, sizes, prints, parities, wide = [], [], [], [], []
         for text in raw(b.column(1)):
             own = shingles(text)
             keys.append(set_key(own))
             sizes.append(len(own))
+            prints.append(fingerprint(own))
             parities.append(sketch(own))
             wide.append(wide_sketch(own))
             np.add.at(counts, _cell(own), 1)
         n = len(keys)
-        yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), _signed(keys), pa.array(sizes, pa.int32()), pa.array(parities, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), _signed(keys), pa.array(sizes, pa.int32()), _signed(prints), pa.array(parities, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     if counts.any():
         n = CELLS // CHUNK
         none = pa.nulls(n, pa.int64())
-        yield pa.record_batch([none, none, none, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([x.tobytes() for x in counts.astype(np.uint32).reshape(n, CHUNK)], pa.binary())], names)
+        yield pa.record_batch([none, none, none, pa.nulls(n, pa.int32()), none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([x.tobytes() for x in counts.astype(np.uint32).reshape(n, CHUNK)], pa.binary())], names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +248,20 @@ def _members(wanted: np.ndarray):
     return work
 
 
+def print_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b): sets (key) whose fingerprints (fp) lie within ``RADIUS``; they connect just what all such pairs connect."""
+    sets = marked.select("fp", "key").distinct()
+    prints = materialise(sets.groupBy("fp").agg(F.min("key").alias("lead")))
+    same = sets.join(prints, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    side = lambda x: prints.select(F.col("fp").alias(f"fp_{x}"), F.col("lead").alias(x))
+    near = near_pairs(prints.select("fp"), RADIUS).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return near.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b").unionByName(same)
+
+
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, key) of every row, text_key being xxhash64 of its text; and (node, root) of every set (key) that is linked."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    marked = materialise(texts.mapInArrow(_mark, "doc_id bigint, text_key bigint, key bigint, n int, parity binary, wide binary, chunk int, counts binary"))
+    marked = materialise(texts.mapInArrow(_mark, "doc_id bigint, text_key bigint, key bigint, n int, fp bigint, parity binary, wide binary, chunk int, counts binary"))
     counts = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
     for r in marked.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_up, "chunk int, counts binary").collect():
         counts[r["chunk"]] += np.frombuffer(r["counts"], np.int64)
@@ -243,7 +269,7 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mean = counts.mean()
     sent = texts.select("text").mapInArrow(_send(counts.ravel() > mean + 6 * mean**0.5 + 100), "token bigint, key bigint, n int")
     met = materialise(sent.repartition("token").sortWithinPartitions("token").mapInArrow(_first_round, "kind int, a bigint, b bigint, n bigint").distinct())
-    links = _confirmed(met.where("kind = 0").select("a", "b"), texts, marked)
+    links = _confirmed(print_pairs(marked).unionByName(met.where("kind = 0").select("a", "b")), texts, marked)
     members = met.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("key"), "n")
     roots = components(links)
     if members.isEmpty():
@@ -285,22 +311,6 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([named["a"].filter(near), named["b"].filter(near)], ["a", "b"])
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group: of its smallest doc_id (null last), the first by text_key and then by the columns.
-
-    groups: doc_id, text_key (xxhash64 of the text) and group of every row.
-    """
-    names = docs.columns
-    own, text, row = (fresh(names, x) for x in ("leader", "leader_text", "leader_row"))
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
-    leaders = first.select(F.col("one.doc_id").alias(own), F.col("one.text_key").alias(text)).withColumn(row, F.xxhash64(own, text))
-    keyed = docs.withColumn(text, F.xxhash64("text")).withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), text))
-    stay = keyed.join(leaders, (keyed[row] == leaders[row]) & (keyed[text] == leaders[text]), "left_semi")
-    order = F.struct("text", *[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    least = stay.groupBy(row, "doc_id", text).agg(F.min_by(F.struct(*names), order).alias("row"))  # dealt by row already
-    return least.select(*[F.col("row")[c].alias(c) for c in names])
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near copies; other columns pass through."""
     marked, roots = similar_groups(docs)

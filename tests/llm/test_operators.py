@@ -376,6 +376,30 @@ def test_pipeline_finds_near_copies_like_brute_force(spark, pairs, monkeypatch):
     assert corpus_pipeline.near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
+    """Without the exact way for what the radius leaves out, just the pairs of SimHash tiles that pass the exact check are linked."""
+    monkeypatch.setattr(similar_sets, "_first_round", lambda batches: (b for b in () if sum(x.num_rows for x in batches)))
+    rng = random.Random(21)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        near = [*base[:-1], f"x{rng.randrange(9999)}"]
+        rows += [" ".join(base), "  ".join(base).upper().replace("W", "w"), " ".join(near), " ".join(near[:150] + [f"y{rng.randrange(9999)}" for _ in range(50)])]
+    parts = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (t.split() for t in rows)]
+    prints = [brute_print(" ".join(t.split()), 5) for t in rows]
+    root, near = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = set(parts[i]), set(parts[j])
+            if bin(prints[i] ^ prints[j]).count("1") <= similar_sets.RADIUS and 5 * len(a & b) >= 4 * len(a | b):
+                near += a != b
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    assert near > 3 and len(set(root)) > 30
+    got = corpus_pipeline.near_copies(spark, docs(spark, list(enumerate(rows))).repartition(5), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted({r: k for k, r in reversed(list(enumerate(root)))}.values())
+
+
 # --- 7: transport streams -------------------------------------------------
 
 
