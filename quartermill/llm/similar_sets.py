@@ -42,10 +42,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw, runs, sliced, splitmix
+from .common import materialise, packed, raw, runs, sliced, splitmix
 from .components import components, one_of_each
 from .simhash import majority, near_pairs
 
@@ -251,7 +252,7 @@ def _members(wanted: np.ndarray):
 def print_pairs(marked: DataFrame) -> DataFrame:
     """(a, b): sets (key) whose fingerprints (fp) lie within ``RADIUS``; they connect just what all such pairs connect."""
     sets = marked.select("fp", "key").distinct()
-    prints = materialise(sets.groupBy("fp").agg(F.min("key").alias("lead")))
+    prints = packed(sets.groupBy("fp").agg(F.min("key").alias("lead")))
     same = sets.join(prints, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
     side = lambda x: prints.select(F.col("fp").alias(f"fp_{x}"), F.col("lead").alias(x))
     near = near_pairs(prints.select("fp"), RADIUS).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
@@ -268,17 +269,17 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = marked.where("chunk is null")
     mean = counts.mean()
     sent = texts.select("text").mapInArrow(_send(counts.ravel() > mean + 6 * mean**0.5 + 100), "token bigint, key bigint, n int")
-    met = materialise(sent.repartition("token").sortWithinPartitions("token").mapInArrow(_first_round, "kind int, a bigint, b bigint, n bigint").distinct())
+    met = packed(sent.repartition("token").sortWithinPartitions("token").mapInArrow(_first_round, "kind int, a bigint, b bigint, n bigint").distinct())
     links = _confirmed(print_pairs(marked).unionByName(met.where("kind = 0").select("a", "b")), texts, marked)
     members = met.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("key"), "n")
-    roots = components(links)
+    roots = components(links, keep=packed)
     if members.isEmpty():
         return marked.select("doc_id", "text_key", "key"), roots
     parity = marked.groupBy("key").agg(F.min("parity").alias("parity"))
     again = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(parity, "key").select("token", "key", "n", F.coalesce("root", "key").alias("root"), "parity")
     more = again.repartition("token").sortWithinPartitions("token").mapInArrow(_second_round, "a bigint, b bigint").distinct()
-    more = _confirmed(materialise(more), texts, marked)
-    return marked.select("doc_id", "text_key", "key"), components(links.unionByName(more))
+    more = _confirmed(packed(more), texts, marked)
+    return marked.select("doc_id", "text_key", "key"), components(links.unionByName(more), keep=packed)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
@@ -289,14 +290,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFra
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sets = marked.groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("wide").alias("wide"))
     side = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"p_{x}"))
-    pairs = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within, "a bigint, b bigint"))
+    pairs = packed(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within, "a bigint, b bigint"))
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = np.zeros(WANTED, bool)
     wanted[[r[0] for r in sets.join(keys, "key", "left_semi").select(F.col("text_key").bitwiseAND(F.lit(WANTED - 1))).distinct().collect()]] = True
     found = texts.select("text", "text_key").mapInArrow(_members(wanted), "key bigint, members array<bigint>")
-    sets = materialise(found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members")))
+    sets = found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members")).persist(StorageLevel.DISK_ONLY)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
-    return materialise(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    try:
+        return packed(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    finally:
+        sets.unpersist()
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

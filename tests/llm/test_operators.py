@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quartermill.llm import chat_views, components, license_scan, line_dedup, mixing, quality_fm, sentencepiece_fst, simhash, similar_sets, token_files, transport_stream, vector_search
+from quartermill.llm import chat_views, common, components, license_scan, line_dedup, mixing, quality_fm, sentencepiece_fst, simhash, similar_sets, token_files, transport_stream, vector_search
 from quartermill.llm.common import NO_ID, splitmix
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -637,6 +637,19 @@ def test_pieces_keep_the_texts_own_white_space():
     assert mixing.pieces(text, 5, [(1, 3)]) == [b"b\nc d"]
 
 
+def test_narrow_checkpoints_make_few_files(spark, monkeypatch):
+    """Files follow the rows, not the partitions; where rows are many, as many tasks write them."""
+    monkeypatch.setattr(common, "PACKED", 100)
+    for n, files in ((0, 1), (90, 1), (350, 4)):
+        kept = common.packed(spark.range(0, n, 1, 60))
+        assert kept.rdd.getNumPartitions() == files and [r.id for r in kept.orderBy("id").collect()] == list(range(n))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint").repartition(50)
+    written = []
+    roots = components.components(edges, keep=lambda df: written.append(common.packed(df)) or written[-1])
+    assert {(r.node, r.root) for r in roots.collect()} == {(k, 0) for k in range(41)}
+    assert all(df.rdd.getNumPartitions() == 1 for df in written)
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(12)
     for n, m in ((0, 1), (5, 300), (3000, 3100), (3000, 40_000)):
