@@ -47,6 +47,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import operator
 import struct
 import zlib
 from collections.abc import Iterator
@@ -159,6 +160,8 @@ class Transducer:
         self.cost = [-s for _, s, _ in pieces] if self.unigram else None
         self.unknown_cost = 10 - min(self.score.values(), default=0.0)
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in self.id)
+        #: Byte pairs, and each character of a piece is a piece: then a position has one state of finite weight.
+        self.single = not self.unigram and all(c in self.id for c in set().union(*self.id))
         #: What each id writes when decoded: control pieces nothing, the unknown piece its usual mark.
         self.text = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
         self.free: dict[int, bool] = {}
@@ -253,6 +256,8 @@ class Transducer:
         best[j]: by last piece, the least weight of a path to (j, last), and where it came from. With
         byte pairs a position that has a state is done, as it has no other of finite weight.
         """
+        if self.single:
+            return self.only_path(text)
         step, arcs, final, root = self.step, self.pieces.arcs, self.pieces.final, self.pieces.arcs[0]
         pairs, free, size, n = self.cost is None, self.free, self.size, len(text)
         best: list[dict[int, tuple[float, int, int, int]]] = [{-1: (0.0, -1, -1, -1)}, *({} for _ in range(n))]
@@ -292,6 +297,44 @@ class Transducer:
             at, last = start, before
         return out[::-1]
 
+    def only_path(self, text: str) -> list[tuple[int, int, int]]:
+        """``path`` where all finite weights are 0 and a position has one state at most.
+
+        All states reached have the least weight, so they may be followed in any order: here the newest
+        first, by its longest arc. A path that meets the end is the least one, and the search is over.
+        """
+        step, arcs, final, root, free, size, n = self.step, self.pieces.arcs, self.pieces.final, self.pieces.arcs[0], self.free, self.size, len(text)
+        start, last = [-1] * (n + 1), [-2] * (n + 1)
+        at, arrivals = 0, []
+        last[0] = -1
+        while at < n:
+            j, state = at + 1, root.get(text[at])
+            if state is None:  # the fallback's arc; no piece spans such a character
+                arrivals.append((at, j, -1))
+            while state is not None:
+                if final[state] >= 0 and last[j] == -2:
+                    arrivals.append((at, j, final[state]))
+                if j == n:
+                    break
+                state = arcs[state].get(text[j])
+                j += 1
+            while True:
+                i, at, piece = arrivals.pop()
+                if last[at] != -2:
+                    continue
+                before = last[i]
+                got = 0.0 if piece < 0 else free.get((before + 1) * size + piece)
+                if got is None:
+                    got = step(before, piece)
+                if got == 0.0:
+                    start[at], last[at] = i, piece
+                    break
+        out = []
+        while at:
+            out.append((start[at], at, last[at]))
+            at = start[at]
+        return out[::-1]
+
     def ids(self, text: str) -> list[int]:
         """Ids of one normalised segment, with byte fallback."""
         out: list[int] = []
@@ -307,16 +350,16 @@ class Transducer:
     def segment(self, text: str) -> bytes:
         """Ids of a piece of normalised text, cut further wherever no piece of the vocabulary spans two characters."""
         spanned, stems, out, at = self.spanned, self.stems, [], 0
-        for k in range(1, len(text) + 1):
-            if k == len(text) or text[k - 1 : k + 1] not in spanned:
-                stem = text[at:k]
-                got = stems.find(stem)
-                if got is None:
-                    got = np.array(self.ids(stem), "<u4").tobytes()
-                    if len(stem) < 64:
-                        stems.put(stem, got)
-                out.append(got)
-                at = k
+        for k in [*(k for k, pair in enumerate(map(operator.add, text, text[1:]), 1) if pair not in spanned), len(text)]:
+            stem = text[at:k]
+            got = stems.find(stem)
+            if got is None:
+                ids = self.ids(stem)
+                got = struct.pack(f"<{len(ids)}I", *ids)
+                if len(stem) < 64:
+                    stems.put(stem, got)
+            out.append(got)
+            at = k
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:

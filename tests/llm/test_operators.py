@@ -125,6 +125,24 @@ def test_the_path_is_the_least_of_all(pieces):
     assert own.normalised("a b") == "▁a▁b" and own.normalised("") == ""
 
 
+def test_the_search_asks_few_weights(pieces, monkeypatch):
+    own, _ = pieces
+    asked = []
+
+    class Counted(dict):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+    monkeypatch.setattr(own, "free", Counted())
+    rng = random.Random(4)
+    texts = ["▁" + "".join(rng.choice(["er", "tion", "an", "hea", "st", "s", "ing", "wh", "qü", "梦", "\n"]) for _ in range(rng.randrange(1, 7))) for _ in range(800)]
+    found = [own.path(t) for t in texts]
+    assert own.single and len(asked) < 2 * sum(map(len, found))
+    monkeypatch.setattr(own, "single", False)
+    assert found == [own.path(t) for t in texts]
+
+
 def test_unigram_models(tmp_path):
     sentencepiece = pytest.importorskip("sentencepiece")
     varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
