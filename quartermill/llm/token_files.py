@@ -19,8 +19,8 @@ all documents form one line. Texts are shuffled once, ids never.
 
 Encoding. Tokens never span ASCII white space in this tokenizer (its splits
 are runs of letters, single digits and runs of other characters, and white
-space is dropped), so words, and the splits within them, are encoded once and
-kept in bounded tables of each Python worker; ``encode_whole`` is the plain
+space is dropped), so words are cut by its pattern, and words and splits are
+encoded once, splits by the library's model, and kept in bounded tables of each Python worker; ``encode_whole`` is the plain
 call it is tested against.
 
 Edge cases. Null and empty texts have the end id only. Repeated rows are
@@ -146,49 +146,44 @@ class Encoder:
             made = json.load(f)
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         rules = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers") or []]
-        suffix = made["model"].get("end_of_word_suffix")
-        self.wordwise = bool(suffix) and rules == ["NFC", "Replace", "Lowercase"] and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and not steps[-1].get("use_regex", True)
+        last = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.wordwise = rules == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and last.items() <= steps[1].items()
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.wordwise else None
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for piece, k in self.tokenizer.get_vocab().items():
-            self.closes[k] = bool(suffix) and piece.endswith(suffix)
+        self.merge = self.tokenizer.model.tokenize
+        #: The characters that byte-level vocabularies write for bytes: printable ones of Latin-1 for themselves, the others from U+0100 on.
+        other = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.renamed = {b: chr(256 + k) for k, b in enumerate(other)}
         self.words, self.splits = Memo(WORDS), Memo(SPLITS)
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn_splits(self, new: list[str]) -> None:
-        """Encodes splits in one call; each one's ids end with the piece that closes a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) == len(new) and ends[-1] == len(ids):
-            data, start = ids.tobytes(), 0
-            for split, end in zip(new, (4 * ends).tolist(), strict=True):
-                self.splits.put(split, data[start:end])
-                start = end
-        else:
-            for split in new:
-                self.splits.put(split, np.array(self.encode_whole(split), "<u4").tobytes())
-
-    def _learn_words(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def _encode_split(self, split: str) -> bytes:
+        """The model's ids of one split in its final case and composition; the steps before the model only rename its bytes."""
+        if not (split.isascii() and split.isprintable()):
+            split = split.encode().decode("latin-1").translate(self.renamed)
+        ids = [x.id for x in self.merge(split)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode_words(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new words. Words of Latin letters, which case and composition rules leave alone, are put together from their splits."""
         out, cut = {}, {}
+        plain = {word: word.lower().decode() for word in new if word.isalpha()}  # ASCII letters only: one split
         for word in new:
-            if word.isalpha():  # ASCII letters only: one split
-                cut[word] = (word.lower().decode(),)
+            if word in plain:
                 continue
             text = word.decode("utf-8", "replace")
             if (text.isascii() or max(text) < "\u0180") and "<|" not in text:
                 cut[word] = self.pattern.findall(text.lower())
             else:
                 out[word] = np.array(self.encode_whole(text), "<u4").tobytes()
-        find = self.splits.find
-        unknown = [x for x in {x for parts in cut.values() for x in parts} if find(x) is None]
-        for k in range(0, len(unknown), 1000):
-            self._learn_splits(unknown[k : k + 1000])
+        got, unknown = self.splits.find_all(set(plain.values()).union(*cut.values()))
+        learnt = dict(zip(unknown, map(self._encode_split, unknown), strict=True))
+        self.splits.put_all(learnt)
+        got |= learnt
+        out |= zip(plain, map(got.__getitem__, plain.values()), strict=True)
         for word, parts in cut.items():
-            got = list(map(find, parts))
-            out[word] = b"".join(got) if None not in got else np.array(self.encode_whole(word.decode()), "<u4").tobytes()
+            out[word] = b"".join(map(got.__getitem__, parts))
         return out
 
     def encode(self, text: bytes) -> bytes:
@@ -199,14 +194,11 @@ class Encoder:
         got = list(map(self.words.young.get, split))
         if None in got:
             gaps = [k for k, x in enumerate(got) if x is None]
-            missing = {split[k] for k in gaps}
-            made = {w: x for w in missing if (x := self.words.find(w)) is not None}
-            if new := [w for w in missing if w not in made]:
-                learnt = self._learn_words(new)
+            made, new = self.words.find_all({split[k] for k in gaps})
+            if new:
+                learnt = self._encode_words(new)
                 made |= learnt
-                for w, x in learnt.items():
-                    if len(w) < 64:
-                        self.words.put(w, x)
+                self.words.put_all({w: x for w, x in learnt.items() if len(w) < 64} if max(map(len, new)) >= 64 else learnt)
             for k in gaps:
                 got[k] = made[split[k]]
         got.append(b"\x01\x00\x00\x00")

@@ -211,6 +211,30 @@ def test_token_files_keep_order_and_ids(spark, tmp_path, monkeypatch):
     assert len(files) > 1 and open(files[0], "rb").read(4) == b"QMTF"
 
 
+def test_splits_go_to_the_model_alone(monkeypatch):
+    made = token_files.Encoder(token_files.tokenizer_path())
+    rng = random.Random(6)
+    words = ["".join(rng.choice(list("aBcehqtz019.,'_~<|>\x00\x1f\x7f\xa0\xad\u0130ÄßéŁ")) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    words += [chr(k) for k in range(33, 0x180)] + ["it's", "don't'll", "x" * 300, "é" * 90]
+    want = {w: [*made.encode_whole(w), 1] for w in words}
+    monkeypatch.setattr(made, "encode_whole", None)
+    plain = [w for w in words if max(w) < "\u0180" and "<|" not in w]
+    for _ in range(2):
+        assert all(np.frombuffer(made.encode(w.encode()), "<u4").tolist() == want[w] for w in plain)
+    monkeypatch.undo()
+    for k in range(0, len(words), 40):  # white space of other scripts too
+        text = rng.choice([" ", "\n", "\u2003"]).join(words[k : k + 40])
+        assert np.frombuffer(made.encode(text.encode()), "<u4").tolist() == [*made.encode_whole(text), 1]
+
+
+def test_full_tables_lose_nothing():
+    memo = common.Memo(3)
+    memo.put_all({"a": b"1", "b": b"2"})
+    memo.put_all({"c": b"3", "d": b"4"})
+    assert memo.find_all({"a", "d", "x"}) == ({"a": b"1", "d": b"4"} | {"x": None}, ["x"])
+    assert memo.find_all({"b", "c"})[0] == {"b": b"2", "c": b"3"}
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     token_files.write_images(awkward(spark).limit(0), str(tmp_path / "e"))
     assert token_files.read_documents(spark, str(tmp_path / "e")).count() == 0
