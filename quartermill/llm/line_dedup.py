@@ -15,7 +15,7 @@ that a document loses. (4) Documents meet these by doc_id and drop the lines.
 Scale. The first shuffle carries sums, never a row for each copy of a line.
 Lines so frequent that their probes would pile up in one shard are at most
 ``1 / heavy_share`` in number by definition, so their owners are broadcast and
-they are never sent. Shards follow the number of input partitions, so a shard
+they are never sent. The index is kept in as few files as its bytes need. Shards follow the number of input partitions, so a shard
 holds about a quarter of the distinct lines of one input partition.
 
 Edge cases. Null text is one empty line. A null doc_id sorts after all others
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WHITE, binary, by_size, fresh, ids, input_partitions, materialise, raw, schema_of, sliced, splitmix, table
+from .common import NO_ID, WHITE, binary, by_size, fresh, ids, input_partitions, packed, raw, schema_of, sliced, splitmix, table
 
 MIN_CHARS = 10
 #: A line is heavy if it makes up more than this share of all kept keys.
@@ -282,7 +282,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with its columns, text without the lines it loses, plus n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     shards = 4 * input_partitions(docs)
-    index = materialise(build_index(docs, min_chars, shards))
+    index = packed(build_index(docs, min_chars, shards), F.length("index") + F.length("top"))
     heavy = {(int(x["h"]), int(x["f"])): (int(x["lo"]), x["lo"] != x["hi"]) for x in heavy_lines(index)}
     lost = lost_lines(docs, index, set(heavy), min_chars, shards)
     owners = docs.sparkSession.sparkContext.broadcast({k: lo for k, (lo, many) in heavy.items() if many})

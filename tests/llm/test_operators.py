@@ -83,6 +83,24 @@ def test_equal_hashes_with_other_fingerprints_stay_apart():
     assert index.lost(probes).tolist() == [False, True, False, True, False]
 
 
+def test_the_line_index_is_kept_in_few_files(spark, monkeypatch):
+    kept, held = line_dedup.packed, []
+    monkeypatch.setattr(line_dedup, "packed", lambda *a: held.append(kept(*a)) or held[-1])
+    monkeypatch.setattr(common, "PACKED_BYTES", 20_000)
+    rows = [(k, f"{LONG} {k // 2}\n{LONG} {k}") for k in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs(spark, rows).repartition(7)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got, key=str) == brute_lines(rows)
+    size = sum(len(r["index"]) + len(r["top"]) for r in held[0].collect())
+    assert held[0].rdd.getNumPartitions() == -(-size // 20_000) < 10
+    assert held[0].count() == 28
+
+
 # --- 2: SentencePiece -----------------------------------------------------
 
 
